@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import oversize, secrets
+from lodestrata.llm import docpairs, mixing, oversize, packing, secrets
 from lodestrata.llm.common import read, spread
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented functions and methods."""
+    return docpairs.found(spread(read(spark, sf_dir, "chunks")))
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and description of every documented function and method."""
+    return docpairs.pair(spread(read(spark, sf_dir, "chunks")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on which a working credential begins, in files and chunks."""
     return p2_findings(spark, sf_dir).select("origin", "row_id", "line_no").distinct()
@@ -39,12 +49,48 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversize.split_oversized(spread(read(spark, sf_dir, "chunks")), read(spark, sf_dir, "chunk_limits"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, for each budget."""
+    return packing.pack(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "pack_budgets"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each budget are."""
+    return packing.fill(p6_containers(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.Mix(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that stay below their share of a mix though used as often as allowed."""
+    return _mix(spark, sf_dir).shares().where("short").select("mix_id", "source")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached share of every source in every mix."""
+    return _mix(spark, sf_dir).shares()
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixes: every copy of every document taken, in random order."""
+    return _mix(spark, sf_dir).rows()
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_findings": p2_findings,
     "p2_redacted": p2_redacted,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
+    "p7_mix": p7_mix,
 }
 
 ORACLE_SQL = {
