@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import docpairs, mixing, oversize, packing, secrets
+from lodestrata.llm import docpairs, mixing, oversize, packing, reading, secrets
 from lodestrata.llm.common import read, spread
+from lodestrata.llm.tokens import source_key
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,24 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).rows()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose English prose is at level 5."""
+    return reading.found(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "reading_labels"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document."""
+    return reading.reading_levels(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "reading_labels"))
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each level and their mean level, by source and repository."""
+    documents = read(spark, sf_dir, "documents")
+    levels = p8_levels(spark, sf_dir).groupBy("doc_id").agg(F.first("level").alias("level"), F.first("reading_level").alias("reading_level"))
+    placed = documents.select("doc_id", "repo_id", source_key(F.col("source")).alias("source")).join(levels, "doc_id")
+    return placed.groupBy("source", "repo_id", "level").agg(F.count("*").alias("n_docs"), F.avg("reading_level").alias("mean_level"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -91,6 +110,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
+    "p8_profile": p8_profile,
 }
 
 ORACLE_SQL = {
