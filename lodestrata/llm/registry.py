@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import docpairs, mixing, oversize, packing, reading, secrets
+from lodestrata.llm import docpairs, mixing, origin, oversize, packing, reading, secrets
 from lodestrata.llm.common import read, spread
 from lodestrata.llm.tokens import source_key
 
@@ -50,6 +50,24 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversize.split_oversized(spread(read(spark, sf_dir, "chunks")), read(spark, sf_dir, "chunk_limits"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that were not written by hand in their repository."""
+    return origin.found(spread(read(spark, sf_dir, "files")), read(spark, sf_dir, "upstream_files"))
+
+
+def p5_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every source file comes from, and its clusters."""
+    return origin.origins(spread(read(spark, sf_dir, "files")), read(spark, sf_dir, "upstream_files"))
+
+
+def p5_hand_written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of hand-written source files only."""
+    files = read(spark, sf_dir, "files")
+    kept = p5_origins(spark, sf_dir).where("hand_written").join(files.select(F.col("id").alias("file_id"), "sha"), "file_id")
+    chunks = read(spark, sf_dir, "chunks").select("id", "repo_id", "sha", "path", "symbol_kind", "start_line", "end_line")
+    return chunks.join(kept.select("repo_id", "sha", "path"), ["repo_id", "sha", "path"], "left_semi").select(F.col("id").alias("chunk_id"), "repo_id", "path", "symbol_kind", "start_line", "end_line")
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, for each budget."""
     return packing.pack(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "pack_budgets"))
@@ -105,6 +123,9 @@ QUERIES = {
     "p2_redacted": p2_redacted,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_origins": p5_origins,
+    "p5_hand_written_chunks": p5_hand_written_chunks,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
