@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: File extensions of source code and the language of each.
 LANGUAGE_OF = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript"}
 
-#: A table broadcast below this many bytes (measured, see :func:`fits`); larger ones are shuffled.
-BROADCAST_BYTES = 32 << 20
+#: Tables of a few narrow columns are broadcast up to this many rows, which are counted first; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,3 +59,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared checkpoint folder, without the plan that made them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has no more than so many rows; for narrow results that are cheap to count."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

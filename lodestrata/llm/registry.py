@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import docpairs, mixing, origin, oversize, packing, reading, secrets
+from lodestrata.llm import docpairs, mixing, origin, oversize, packing, reading, secrets, syntax
 from lodestrata.llm.common import read, spread
 from lodestrata.llm.tokens import source_key
 
@@ -39,6 +39,21 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that do not parse."""
+    return syntax.found(spread(read(spark, sf_dir, "files")))
+
+
+def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repair cost and reason of every source file."""
+    return syntax.repairs(spread(read(spark, sf_dir, "files")))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of invalid files by repository and language."""
+    return syntax.rates(spread(read(spark, sf_dir, "files")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that had to be split."""
     pieces = oversize.split_oversized(spread(read(spark, sf_dir, "chunks")), read(spark, sf_dir, "chunk_limits"))
@@ -121,6 +136,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_findings": p2_findings,
     "p2_redacted": p2_redacted,
+    "p3_found": p3_found,
+    "p3_repairs": p3_repairs,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
