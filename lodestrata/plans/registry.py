@@ -1,6 +1,531 @@
-"""The queries over the test tables, and SQL for those it can express."""
+"""The queries over the test tables, and SQL for those it can express.
+
+Every query runs over its whole tables. Where a tool takes an argument (a
+pattern, a name, a question) the query fixes one; row limits stand only where
+they are the feature: the first matches of each tree, the best k of a search.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import text as tx
+from lodestrata.operators import browse, citations, evaluate, filters, search, tools
+from lodestrata.sources import corpus, store
+from lodestrata.streaming import progress
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Terms and vector that the search queries ask for.
+TERMS = ["worker", "settings"]
+GREP = r"raise \w+Error\("
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL if there is any."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _query_vector(n: int = 64):
+    return F.array(*[F.lit(1.0 if k % 3 == 0 else -0.5) for k in range(n)])
+
+
+_QV = "list_transform(range(64), lambda k: CASE WHEN k % 3 = 0 THEN 1.0 ELSE -0.5 END)"
+_TOKENS = "regexp_extract_all(lower(@), '[\\p{L}\\p{N}_]+')"
+_SPLIT = "regexp_split_to_array(content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')"
+_LINES = f"(CASE WHEN {_SPLIT}[-1] = '' THEN {_SPLIT}[:-2] ELSE {_SPLIT} END)"
+
+
+def _tokens(column: str) -> str:
+    return _TOKENS.replace("@", column)
+
+
+_LATEST = "JOIN repos r ON r.id = {0}.repo_id AND r.last_indexed_sha = {0}.sha"
+_KEEP = """
+    regexp_matches(lower(path), '[^/]\\.(py|ts|tsx|js|jsx)$')
+    AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules', 'vendor', 'dist', 'build', '__pycache__', '.next', '.venv', 'out'])
+    AND NOT list_contains(['package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'bun.lockb', 'poetry.lock', 'Pipfile.lock', 'uv.lock', 'Cargo.lock'], string_split(path, '/')[-1])
+    AND NOT regexp_matches(string_split(path, '/')[-1], '(\\.min\\.js|\\.min\\.css|\\.min\\.mjs|\\.map|\\.d\\.ts)$')
+    AND NOT contains(string_split(path, '/')[-1], '.generated.') AND NOT contains(string_split(path, '/')[-1], '.pb.')
+"""
+_SCORE = "round(" + " + ".join(f"len(list_filter(t, lambda x: x = '{w}'))::DOUBLE / (len(list_filter(t, lambda x: x = '{w}')) + 1)" for w in TERMS) + ", 9)"
+_CORE = "path NOT LIKE 'test%' AND path NOT LIKE '%/test%' AND path NOT LIKE 'example%'"
+_KEYS = f"""
+    SELECT repo_id, sha, path, defs, CAST(row_number() OVER (PARTITION BY repo_id, sha ORDER BY defs DESC, path) AS INT) AS rank
+    FROM (SELECT repo_id, sha, path, count(*) AS defs FROM symbols WHERE {_CORE} GROUP BY ALL)
+    QUALIFY rank <= 5
+"""
+
+
+# ------------------------------------------------------------------ filters
+
+
+@query(f"SELECT id, path FROM files WHERE {_KEEP}")
+def source_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Source files that the index takes."""
+    return filters.source_files(table(spark, d, "files")).select("id", "path")
+
+
+@query(
+    f"""SELECT id, path FROM files f WHERE instr(path, '/') = 0
+    AND lower(path) IN ('readme.md', 'readme.rst', 'readme.txt', 'pyproject.toml', 'package.json', 'setup.py', 'setup.cfg', 'cargo.toml', 'go.mod', 'dockerfile', 'makefile')
+    AND NOT EXISTS (SELECT 1 FROM files s WHERE s.repo_id = f.repo_id AND s.sha = f.sha AND s.path = f.path AND {_KEEP.replace("path", "s.path")})"""
+)
+def doc_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents at the root of a tree."""
+    return filters.doc_files(table(spark, d, "files")).select("id", "path")
+
+
+@query(
+    """SELECT id, path, CASE WHEN regexp_matches(lower(path), '[^/]\\.py$') THEN 'python'
+    WHEN regexp_matches(lower(path), '[^/]\\.(ts|tsx|js|jsx)$') THEN 'typescript' END AS language FROM files"""
+)
+def lang_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every file."""
+    return table(spark, d, "files").select("id", "path", tx.language(F.col("path")).alias("language"))
+
+
+@query("SELECT id, path FROM files WHERE octet_length(encode(content)) <= 1048576 AND NOT contains(content[:1024], chr(0))")
+def binary_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Files small enough and without NUL bytes at their start."""
+    return table(spark, d, "files").where(filters.keep_bytes(F.col("content").cast("binary"))).select("id", "path")
+
+
+@query(
+    """WITH RECURSIVE items AS (
+        SELECT repo_id, sha, path, size, row_number() OVER (PARTITION BY repo_id, sha ORDER BY low, deep, long, path, size) AS n FROM (
+            SELECT repo_id, sha, path, octet_length(encode(content)) AS size, len(string_split(path, '/')) AS deep, length(path) AS long,
+            CAST(len(list_filter(string_split(lower(path), '/'), lambda p: p IN ('test', 'tests', 'spec', 'specs', 'example', 'examples', 'docs', 'doc', 'benchmark', 'benchmarks', 'fixtures', 'testdata', 'third_party'))) > 0 AS INT) AS low
+            FROM files)),
+    fold AS (
+        SELECT repo_id, sha, path, size, n, size <= 20000 AS kept, CASE WHEN size <= 20000 THEN 1 ELSE 0 END AS files, CASE WHEN size <= 20000 THEN size ELSE 0 END AS bytes FROM items WHERE n = 1
+        UNION ALL
+        SELECT i.repo_id, i.sha, i.path, i.size, i.n, f.files < 4 AND f.bytes + i.size <= 20000, f.files + CASE WHEN f.files < 4 AND f.bytes + i.size <= 20000 THEN 1 ELSE 0 END,
+            f.bytes + CASE WHEN f.files < 4 AND f.bytes + i.size <= 20000 THEN i.size ELSE 0 END
+        FROM fold f JOIN items i ON i.repo_id = f.repo_id AND i.sha = f.sha AND i.n = f.n + 1)
+    SELECT repo_id, sha, path, CAST(size AS BIGINT) AS size, kept FROM fold"""
+)
+def within_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each tree that fit a budget of four files and 20,000 bytes."""
+    rows = table(spark, d, "files").withColumn("size", F.octet_length("content").cast("long"))
+    return filters.within_budget(rows, max_files=4, max_bytes=20_000)
+
+
+# --------------------------------------------------------------------- text
+
+
+@query(f"SELECT id, CAST(len({_LINES}) AS INT) AS n_lines, {_LINES}[1] AS first_line FROM files")
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Number of lines and first line of every file."""
+    rows = tools.file_lines(table(spark, d, "files").select("repo_id", "sha", F.col("id").cast("string").alias("path"), "content"))
+    by = rows.groupBy("path").agg(F.count("*").alias("n"), F.max(F.when(F.col("line_no") == 1, F.col("line"))).alias("first_line"))
+    ids = table(spark, d, "files").select("id", F.col("id").cast("string").alias("path"))
+    return ids.join(by, "path", "left").select("id", F.coalesce("n", F.lit(0)).cast("int").alias("n_lines"), "first_line")
+
+
+@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY term")
+def term_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often each word occurs and in how many documents."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(tx.words(F.col("text"))).alias("term"))
+    per_doc = rows.groupBy("term", "doc_id").agg(F.count("*").alias("n"))  # counts, not words, are shuffled
+    return per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE w END, ' ') AS query FROM (
+        SELECT doc_id, w, list_filter(w, lambda x: x NOT IN ({_STOP})) AS k FROM (
+            SELECT doc_id, list_filter({_tokens('title')}, lambda x: length(x) > 1) AS w FROM documents WHERE title IS NOT NULL))"""
+)
+def lexical_query(spark: SparkSession, d: str) -> DataFrame:
+    """The words of every title that a lexical query keeps."""
+    rows = table(spark, d, "documents").where("title is not null")
+    return rows.select("doc_id", F.array_join(tx.query_words(F.col("title")), " ").alias("query"))
+
+
+@query("SELECT id, path || ':' || start_line || '-' || end_line || chr(10) || content AS embedded FROM chunks")
+def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What is embedded for every chunk."""
+    return table(spark, d, "chunks").select("id", tx.embedding_text(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("content")).alias("embedded"))
+
+
+@query(f"SELECT id, array_to_string(({_LINES})[1:6], chr(10)) AS snippet FROM chunks")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The first six lines of every chunk."""
+    return table(spark, d, "chunks").select("id", tx.snippet(F.col("content")).alias("snippet"))
+
+
+@query(
+    """SELECT id, owner, name FROM (SELECT id, regexp_extract(trim(url), '^https?://[\\w.-]+/([\\w.-]+)/([\\w.-]+?)(?:\\.git)?/?$', 1) AS owner,
+    regexp_extract(trim(url), '^https?://[\\w.-]+/([\\w.-]+)/([\\w.-]+?)(?:\\.git)?/?$', 2) AS name FROM index_runs) WHERE owner <> ''"""
+)
+def url_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Owner and name of the repository of every run."""
+    rows = table(spark, d, "index_runs").select("id", corpus.repository(F.col("url")).alias("r")).where("r is not null")
+    return rows.select("id", "r.owner", "r.name")
+
+
+# ------------------------------------------------------------------- search
+
+_LEX = f"SELECT id, {_SCORE} AS score FROM (SELECT doc_id AS id, {_tokens('text')} AS t FROM documents) WHERE "
+_AND = " AND ".join(f"list_contains(t, '{w}')" for w in TERMS)
+_OR = " OR ".join(f"list_contains(t, '{w}')" for w in TERMS)
+
+
+@query(_LEX + _AND)
+def fts_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with all terms, scored."""
+    return search.lexical(_texts(spark, d), TERMS, k=None)
+
+
+@query(_LEX + "(" + _OR + ")" + " ORDER BY score DESC, id LIMIT 50")
+def fts_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty best documents with any term."""
+    return search.lexical(_texts(spark, d), TERMS, every=False)
+
+
+@query(f"SELECT doc_id AS id FROM documents WHERE contains(' ' || array_to_string({_tokens('text')}, ' ') || ' ', ' short name ')")
+def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with two words next to each other."""
+    return search.phrase(_texts(spark, d), ["short", "name"])
+
+
+_DIST = f"round(1 - list_sum(list_transform(list_zip(embedding, {_QV}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({_QV}, lambda x: x::DOUBLE * x::DOUBLE)))), 6)"
+
+
+@query(f"SELECT vec_id AS id, {_DIST} AS distance FROM embeddings ORDER BY distance, id LIMIT 50")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty vectors nearest to a query."""
+    return search.nearest(_vectors(spark, d), _query_vector())
+
+
+@query(
+    """SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))
+        / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) + 0.0 AS distance,
+        CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))
+        / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6), e.vec_id) AS INT) AS rank
+    FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10"""
+)
+def vector_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of every fiftieth vector."""
+    vectors = _vectors(spark, d)
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    out = search.knn(vectors, asked)
+    return out.select("query_id", "id", (F.col("distance") + 0.0).alias("distance"), "rank")
+
+
+_RANKS = f"""near AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT vec_id AS id, {_DIST} AS distance FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY distance, id LIMIT 50)),
+    lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({_LEX}{_AND} ORDER BY score DESC, id LIMIT 50)),
+    best AS (SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM lex) GROUP BY id ORDER BY score DESC, id LIMIT 10)"""
+
+
+@query(f"WITH {_RANKS} SELECT b.id, b.score, d.text FROM best b JOIN documents d ON d.doc_id = b.id")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents by words and vectors together."""
+    return search.hybrid(_texts(spark, d), _vectors(spark, d), TERMS, _query_vector())
+
+
+@query(
+    f"""WITH lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({_LEX}({_OR}) ORDER BY score DESC, id LIMIT 50))
+    SELECT l.id, round(1.0 / (60 + rank), 9) AS score, d.text FROM lex l JOIN documents d ON d.doc_id = l.id ORDER BY score DESC, l.id LIMIT 10"""
+)
+def hybrid_lexical_only(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents when nothing has a vector yet: any term counts."""
+    return search.hybrid(_texts(spark, d), _vectors(spark, d).where(F.size("embedding") < 0), TERMS, _query_vector())
+
+
+# -------------------------------------------------------------------- tools
+
+
+@query(f"SELECT c.id, c.path, c.symbol_name FROM chunks c {_LATEST.format('c')}")
+def latest_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of each repository's last indexed commit."""
+    return search.latest(table(spark, d, "chunks"), table(spark, d, "repos")).select("id", "path", "symbol_name")
+
+
+@query(
+    f"""SELECT id, n_lines, n_shown, text, truncated FROM (SELECT id, CAST(len(l) AS INT) AS n_lines, CAST(len(l[5:404]) AS INT) AS n_shown, array_to_string(l[5:404], chr(10)) AS text, len(l) - 4 > 400 AS truncated
+    FROM (SELECT id, {_LINES} AS l FROM files) WHERE len(l) >= 5)"""
+)
+def read_file(spark: SparkSession, d: str) -> DataFrame:
+    """Every file from its fifth line, at most 400 lines."""
+    rows = table(spark, d, "files").select("repo_id", "sha", F.col("id").alias("path"), "content")
+    return tools.read_file(rows, start=5).select(F.col("path").alias("id"), "n_lines", "n_shown", "text", "truncated")
+
+
+@query(
+    """SELECT DISTINCT repo_id, sha, CASE WHEN instr(rest, '/') > 0 THEN split_part(rest, '/', 1) || '/' ELSE rest END AS entry
+    FROM (SELECT repo_id, sha, substr(path, 5) AS rest FROM files WHERE starts_with(path, 'src/'))"""
+)
+def list_dir(spark: SparkSession, d: str) -> DataFrame:
+    """One level below src/ of every tree."""
+    return tools.list_dir(table(spark, d, "files"), "src")
+
+
+@query(
+    f"""SELECT repo_id, sha, path, line_no, line, total FROM (SELECT *, count(*) OVER (PARTITION BY repo_id, sha) AS total, row_number() OVER (PARTITION BY repo_id, sha ORDER BY path, line_no, line) AS n FROM (
+        SELECT repo_id, sha, path, CAST(i AS INT) AS line_no, l[i] AS line FROM (SELECT repo_id, sha, path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT repo_id, sha, path, {_LINES} AS l FROM files)))
+        WHERE regexp_matches(line, 'raise \\w+Error\\(')) WHERE n <= 50"""
+)
+def grep(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that raise an error: the first fifty of each tree and how many there are."""
+    return tools.grep(table(spark, d, "files"), GREP)
+
+
+@query(
+    """SELECT repo_id, sha, path, line, kind, false AS truncated FROM symbols WHERE name = 'encode'
+    QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY path, line, id) <= 20 AND count(*) OVER (PARTITION BY repo_id, sha) <= 20
+    UNION ALL SELECT repo_id, sha, path, line, kind, true FROM symbols WHERE name = 'encode'
+    QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY path, line, id) <= 20 AND count(*) OVER (PARTITION BY repo_id, sha) > 20"""
+)
+def find_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """Where `encode` is defined in every tree."""
+    return tools.find_symbol(table(spark, d, "symbols"), "encode")
+
+
+@query(
+    """SELECT repo_id, sha, name, count(*) AS n, array_to_string(list_transform(list_sort(list_distinct(list({'path': path, 'line': line, 'kind': kind})))[1:20], lambda p: p.path || ':' || p.line), ' ') AS places
+    FROM symbols GROUP BY repo_id, sha, name"""
+)
+def symbol_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where every name of every tree is defined."""
+    rows = tools.first_symbols(table(spark, d, "symbols"))
+    places = F.array_join(F.transform("places", lambda p: F.concat(p["path"], F.lit(":"), p["line"].cast("string"))), " ")
+    return rows.select("repo_id", "sha", "name", "n", places.alias("places"))
+
+
+@query(
+    f"""SELECT repo_id, sha, path, start_line, split_part(content, chr(10), 1) AS first_line FROM (SELECT *, {_tokens("concat_ws(' ', content, symbol_name)")} AS t FROM chunks) WHERE list_contains(t, 'logger') AND list_contains(t, 'warning')
+    QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY path, start_line, id) <= 20"""
+)
+def find_references(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that mention logger.warning, the first of each tree."""
+    return tools.find_references(table(spark, d, "chunks"), "logger.warning")
+
+
+@query(
+    """SELECT id, CAST(i - 1 AS INT) AS position, split_part(e, '|', 1) AS hash, split_part(e, '|', 2) AS author, split_part(e, '|', 3) AS date, split_part(e, '|', 4) AS subject FROM (
+    SELECT id, l[i] AS e, i FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT id, string_split(git_log, chr(10))[1:10] AS l FROM files WHERE git_log <> '')))"""
+)
+def git_log(spark: SparkSession, d: str) -> DataFrame:
+    """The newest ten commits of every file."""
+    return tools.git_log(table(spark, d, "files")).select("id", "position", "hash", "author", "date", "subject")
+
+
+# ------------------------------------------------------------------- browse
+
+
+@query(
+    """SELECT r.id AS repo_id, r.owner, r.name, r.status, r.last_indexed_sha AS sha,
+    (SELECT count(*) FROM chunks c WHERE c.repo_id = r.id AND c.sha = r.last_indexed_sha) AS n_chunks, (SELECT count(*) FROM symbols s WHERE s.repo_id = r.id AND s.sha = r.last_indexed_sha) AS n_symbols FROM repos r"""
+)
+def repo_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every repository with its chunks and symbols."""
+    return browse.counts(table(spark, d, "repos"), table(spark, d, "chunks"), table(spark, d, "symbols")).select("repo_id", "owner", "name", "status", "sha", "n_chunks", "n_symbols")
+
+
+@query("SELECT repo_id, sha, language, count(DISTINCT path) AS n_files FROM chunks GROUP BY ALL")
+def languages(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each language in every tree."""
+    return browse.language_files(table(spark, d, "chunks"))
+
+
+@query(_KEYS)
+def key_files(spark: SparkSession, d: str) -> DataFrame:
+    """The five files of every tree with the most definitions."""
+    return browse.key_files(table(spark, d, "symbols"))
+
+
+@query(
+    f"""SELECT s.repo_id, s.sha, s.name, s.kind, s.path, s.line, CAST(row_number() OVER (PARTITION BY s.repo_id, s.sha ORDER BY k.rank, s.line, s.id) AS INT) AS position
+    FROM symbols s JOIN ({_KEYS}) k USING (repo_id, sha, path) WHERE s.kind = 'class' AND s.parent_symbol IS NULL AND left(s.name, 1) <> '_' QUALIFY position <= 10"""
+)
+def top_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Public classes of the key files."""
+    return browse.top_symbols(table(spark, d, "symbols"))
+
+
+@query(
+    """SELECT repo_id, sha, path, CAST(row_number() OVER (PARTITION BY repo_id, sha ORDER BY noise, depth, path) AS INT) AS position FROM (
+        SELECT DISTINCT repo_id, sha, path, CAST(list_has_any(string_split(path, '/'), ['tests', 'test', 'examples', 'docs', 'scripts']) AS INT) AS noise, len(string_split(path, '/')) AS depth FROM files
+        WHERE string_split(path, '/')[-1] IN ('main.py', '__main__.py', 'manage.py', 'app.py', 'cli.py', 'index.ts', 'index.js', 'server.ts', 'Dockerfile', 'Makefile')) QUALIFY position <= 5"""
+)
+def entry_points(spark: SparkSession, d: str) -> DataFrame:
+    """Likely ways into every tree."""
+    return browse.entry_points(table(spark, d, "files"))
+
+
+@query(
+    """SELECT repo_id, sha, path, CAST(length(content) AS INT) AS n_chars FROM files WHERE starts_with(lower(string_split(path, '/')[-1]), 'readme')
+    QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY len(string_split(path, '/')), path, id) = 1"""
+)
+def readme(spark: SparkSession, d: str) -> DataFrame:
+    """The first readme of every tree."""
+    return browse.readmes(table(spark, d, "files"))
+
+
+@query(
+    f"""WITH keys AS ({_KEYS}), tops AS (SELECT s.repo_id, s.sha, s.name, s.path, row_number() OVER (PARTITION BY s.repo_id, s.sha ORDER BY k.rank, s.line, s.id) AS position
+    FROM symbols s JOIN keys k USING (repo_id, sha, path) WHERE s.kind = 'class' AND s.parent_symbol IS NULL AND left(s.name, 1) <> '_' QUALIFY position <= 10)
+    SELECT repo_id, sha, question, CAST(row_number() OVER (PARTITION BY repo_id, sha ORDER BY p, question) AS INT) AS position FROM (
+    SELECT repo_id, sha, 'What does `' || name || '` in ' || path || ' do?' AS question, position AS p FROM tops UNION ALL SELECT repo_id, sha, 'How is ' || path || ' organised?', rank + 10 FROM keys) QUALIFY position <= 5"""
+)
+def starter_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions to begin with, for every tree."""
+    return browse.starter_questions(table(spark, d, "symbols"))
+
+
+@query("SELECT repo_id, sha, name, kind, path, line FROM symbols WHERE parent_symbol IS NULL QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY name, path, line, id) <= 200")
+def symbol_index(spark: SparkSession, d: str) -> DataFrame:
+    """Top-level symbols of every tree by name."""
+    return browse.symbol_index(table(spark, d, "symbols"))
+
+
+@query(
+    """SELECT repo_id, sha, path, count(*) AS n_symbols, string_agg(line || ' ' || kind || ' ' || name, '; ' ORDER BY line, kind, name) AS outline FROM symbols GROUP BY repo_id, sha, path"""
+)
+def symbol_outline(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols of every file in order."""
+    return browse.outline(table(spark, d, "symbols"))
+
+
+@query(
+    """SELECT repo_id, sha, array_to_string(p[:i - 1], '/') AS parent, p[i] AS name, i < len(p) AS is_dir, count(*) AS n_files FROM (
+    SELECT repo_id, sha, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT repo_id, sha, string_split(path, '/') AS p FROM files)) GROUP BY ALL"""
+)
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """Every directory of every tree with its entries."""
+    return browse.tree(table(spark, d, "files"))
+
+
+# --------------------------------------------------- citations and evaluation
+
+_CITED = """SELECT doc_id, repo_id, CAST(i - 1 AS INT) AS n, p[i] AS path, TRY_CAST(f[i] AS BIGINT) AS first, TRY_CAST(CASE WHEN l[i] <> '' THEN l[i] ELSE f[i] END AS BIGINT) AS last FROM (
+    SELECT doc_id, repo_id, p, f, l, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, repo_id, regexp_extract_all(text, '\\b([\\w./\\-]+):(\\d+)(?:-(\\d+))?\\b', 1) AS p,
+    regexp_extract_all(text, '\\b([\\w./\\-]+):(\\d+)(?:-(\\d+))?\\b', 2) AS f, regexp_extract_all(text, '\\b([\\w./\\-]+):(\\d+)(?:-(\\d+))?\\b', 3) AS l FROM documents))"""
+_COUNTS = f"SELECT repo_id, path, max(len({_LINES})) AS n_lines FROM files GROUP BY repo_id, path"
+_VALID = f"SELECT c.*, coalesce(first >= 1 AND first <= last AND last <= n_lines, false) AS valid FROM ({_CITED}) c LEFT JOIN ({_COUNTS}) k ON k.repo_id = c.repo_id AND k.path = c.path"
+
+
+@query(_VALID)
+def validate_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference in every document, checked against its repository."""
+    return citations.validate(table(spark, d, "documents"), table(spark, d, "files"))
+
+
+@query(
+    f"""SELECT doc_id, count(*) AS n_cited, count(*) FILTER (WHERE valid) AS n_valid, coalesce(array_to_string(list_sort(list_distinct(list(path || ':' || first) FILTER (WHERE NOT valid))), ' '), '') AS invalid FROM ({_VALID}) GROUP BY doc_id"""
+)
+def citation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Valid and invalid references of every document."""
+    return citations.summary(table(spark, d, "documents"), table(spark, d, "files"))
+
+
+@query(
+    f"""WITH truth AS (SELECT repo_id, name, list_sort(list_distinct(list(path))) AS truth FROM symbols WHERE kind = 'class' GROUP BY repo_id, name),
+    hits AS (SELECT repo_id, name, list(path) AS hits FROM (SELECT DISTINCT repo_id, symbol_name AS name, path FROM chunks WHERE symbol_kind = 'class') GROUP BY repo_id, name)
+    SELECT t.repo_id, count(*) AS n_questions, round(avg(len(list_intersect(truth, coalesce(hits, [])))::DOUBLE / len(truth)), 9) AS recall, round(avg(coalesce(len(hits), 0)), 9) AS files_seen
+    FROM truth t LEFT JOIN hits h USING (repo_id, name) GROUP BY t.repo_id"""
+)
+def recall_report(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the files that define each class among the files whose chunks carry its name, by repository."""
+    truth = table(spark, d, "symbols").where("kind = 'class'").groupBy("repo_id", "name").agg(F.collect_set("path").alias("truth"))
+    hits = table(spark, d, "chunks").where("symbol_kind = 'class'").groupBy("repo_id", F.col("symbol_name").alias("name")).agg(F.collect_set("path").alias("hits"))
+    rows = truth.join(hits, ["repo_id", "name"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    return evaluate.report(rows)
+
+
+# -------------------------------------------------------- store and progress
+
+
+@query(
+    """SELECT coalesce(n.id, o.id) AS id, o.owner, coalesce(n.status, o.status) AS status, coalesce(n.sha, o.last_indexed_sha) AS last_indexed_sha FROM repos o FULL JOIN (
+    SELECT repo_id AS id, arg_max(sha, (started_at, id)) AS sha, arg_max(status, (started_at, id)) AS status FROM index_runs WHERE repo_id IS NOT NULL AND status = 'done' GROUP BY repo_id) n ON n.id = o.id"""
+)
+def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The repositories after the newest finished run of each."""
+    repos = table(spark, d, "repos")
+    done = table(spark, d, "index_runs").where("repo_id is not null and status = 'done'")
+    order = F.struct("started_at", "id")
+    new = done.groupBy(F.col("repo_id").alias("id")).agg(F.max_by("sha", order).alias("last_indexed_sha"), F.max_by("status", order).alias("status"))
+    new = new.select("id", *[F.col(c) if c in ("last_indexed_sha", "status") else F.lit(None).cast(repos.schema[c].dataType).alias(c) for c in repos.columns if c != "id"])
+    return store.merge_manifest(repos, new).select("id", "owner", "status", "last_indexed_sha")
+
+
+@query(
+    """SELECT d.doc_id AS id, coalesce(len(e.embedding), 0) AS dims, e.embedding IS NULL AS pending FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
+)
+def embed_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Documents after their vectors were filled in."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("array<float>").alias("embedding"))
+    out = store.backfill(chunks, _vectors(spark, d))
+    return out.select("id", F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("dims"), F.col("embedding").isNull().alias("pending"))
+
+
+@query(
+    """SELECT r.repo_id, count(*) AS total, count(e.vec_id) AS done, CAST(floor(count(e.vec_id) * 100 / count(*)) AS INT) AS percent FROM documents r LEFT JOIN embeddings e ON e.vec_id = r.doc_id GROUP BY r.repo_id"""
+)
+def embed_progress(spark: SparkSession, d: str) -> DataFrame:
+    """How far the embedding of each repository's documents has come."""
+    rows = table(spark, d, "documents").select("repo_id", F.col("doc_id").alias("id")).join(_vectors(spark, d).select("id", F.lit(1).alias("has")), "id", "left")
+    by = rows.groupBy("repo_id").agg(F.count("*").alias("total"), F.count("has").alias("done"))
+    return by.withColumn("percent", tx.percent(F.col("done"), F.col("total")))
+
+
+@query(
+    """SELECT user_id, event_id, round(date_diff('microsecond', p, ts) / 1e6, 6) AS silent_seconds FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE date_diff('microsecond', p, ts) / 1e6 > 20"""
+)
+def heartbeat_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Events that follow more than twenty seconds of silence of their user."""
+    return progress.heartbeat_gaps(table(spark, d, "events"), "user_id").select("user_id", "event_id", "silent_seconds")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(ts, event_id) AS ts, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def latest_stage(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each type of every user."""
+    return progress.latest_stage(table(spark, d, "events"), "user_id", "event_type")
+
+
+@query("SELECT url, arg_max(status, (started_at, id)) AS state, count(*) AS n_runs, max(started_at) AS last_started FROM (SELECT DISTINCT ON (id) * FROM index_runs) GROUP BY url")
+def run_states(spark: SparkSession, d: str) -> DataFrame:
+    """State of every address by its latest run."""
+    return progress.run_states(table(spark, d, "index_runs"))
+
+
+@query(
+    """SELECT id, CAST(json_extract_string(stats, '$.files') AS BIGINT) AS files, CAST(json_extract_string(stats, '$.chunks') AS BIGINT) AS chunks,
+    CASE WHEN json_extract(stats, '$.ms') IS NOT NULL THEN coalesce(CAST(list_sum(list_transform(json_extract(stats, '$.ms.*'), lambda v: CAST(v AS BIGINT))) AS BIGINT), 0) END AS total_ms FROM index_runs"""
+)
+def stage_total(spark: SparkSession, d: str) -> DataFrame:
+    """What every run counted and how long its stages took."""
+    return progress.stage_totals(table(spark, d, "index_runs"))
+
+
+@query()
+def sse_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a frame, and what a client reads from it."""
+    framed = table(spark, d, "events").select("event_id", progress.frame(F.struct("event_id", "event_type", "value")).alias("frame"))
+    return framed.select("event_id", "frame", F.get(progress.frames(F.col("frame")), 0).alias("payload"))
