@@ -57,13 +57,15 @@ BROADCAST_GRADES = 1_000_000
 #: Graded documents that the mapping to the scale is fitted on at most, taken by hash.
 CALIBRATION_ROWS = 100_000
 
-_FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.MULTILINE | re.DOTALL)
 _NOT_PROSE = re.compile(
     r"(?:[|#<=]|!\[|\*\*[\w.-]+\*\* (?:commented|wrote|replied)|\S+:\d+(?:-\d+)?:?$|[*+-]?\s*(?:https?://|www\.)\S+$|[0-9a-f]{7,40}\b|[-*_=~]{3,}$|"
     r"(?:feat|fix|chore|docs|refactor|test|perf|ci|build|style|revert)(?:\([\w./-]+\))?!?: |\[[^\]]*\]:\s|@@|diff |index [0-9a-f]|Traceback |File \"|>>> |\$ )"
 )
 _BULLET = re.compile(r"(?:[-*+>]|\d+[.)])\s+")
-_INLINE = re.compile(r"\(see `[^`]*`\)|`[^`]*`|!\[[^\]]*\]\([^)]*\)|<[^>\s][^>]*>|https?://\S+|www\.\S+|\S*[/\\]\S*|\w+_\w*|\w+\(\)|\S+@\S+|\b\w+\.\w+\b")
+_SPAN = re.compile(r"\(see `[^`]*`\)|`[^`]*`")
+_IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
+_HTML = re.compile(r"<[^>\s][^>]*>")
+_NO_WORD = re.compile(r"[/\\_@]|\w\.\w|\w\(\)")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 # Frequent function words that English lacks.
@@ -74,23 +76,35 @@ _FOREIGN = frozenset(
 
 def prose(text: str) -> str:
     """The running text of a document, without code, tables, links, headings and other markup."""
-    text = text.replace("\r\n", "\n")
-    if "```" in text or "~~~" in text:
-        text = _FENCE.sub("\n", text)
-    lines = []
-    for line in text.split("\n"):
-        if line[:4] == "    " or line[:1] == "\t":
+    kept, fence = [], ""
+    for raw in text.split("\n"):
+        line = raw.strip()
+        if fence:
+            if line[:3] == fence:
+                fence = ""
             continue
-        line = line.strip()
-        if line and not _NOT_PROSE.match(line):
-            m = _BULLET.match(line)
-            if m and _NOT_PROSE.match(rest := line[m.end() :].strip()):
+        if not line or line[0] in "|#<=":
+            continue
+        if line[:3] in ("```", "~~~"):
+            fence = line[:3]
+            continue
+        if raw[:4] == "    " or raw[0] == "\t" or _NOT_PROSE.match(line):
+            continue
+        if line[0] in "-*+>0123456789" and (m := _BULLET.match(line)):
+            line = line[m.end() :].strip()
+            if not line or _NOT_PROSE.match(line):
                 continue
-            lines.append(rest if m else line)
-    text = "\n".join(lines)
+        kept.append(line)
+    text = "\n".join(kept)
+    if "`" in text:
+        text = _SPAN.sub(" ", text)
     if "](" in text:
-        text = _LINK.sub(r" \1 ", text)
-    return _INLINE.sub(" ", text)
+        text = _LINK.sub(r" \1 ", _IMAGE.sub(" ", text))
+    if "<" in text:
+        text = _HTML.sub(" ", text)
+    if _NO_WORD.search(text):
+        text = " ".join([w for w in text.split() if not _NO_WORD.search(w)])
+    return text
 
 
 class _Hashes(dict):
@@ -107,7 +121,7 @@ def _graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words_of, counts_of, n_words, english = [], [], [], []
         for text in batch.text:
             found = _WORD.findall(prose(text).lower()) if text else []
-            foreign = sum(w in _FOREIGN for w in found)
+            foreign = 0 if _FOREIGN.isdisjoint(found) else sum(w in _FOREIGN for w in found)
             n_words.append(len(found))
             english.append(10 * foreign < max(len(found), 1))
             if len(found) >= MIN_WORDS and english[-1]:
