@@ -247,8 +247,7 @@ def _python(text: str) -> Iterator[tuple]:
         close = re.compile(rf"^[ \t]{{0,{len(m.group('in'))}}}[^\s#)\]}}]", re.MULTILINE).search(masked, colon + 1)
         stop = close.start() if close else len(text)
         before = masked[max(0, m.start() - 80) : m.start()]
-        body = masked[colon + 1 : stop].strip() if doc is None else text[doc.end() : stop].strip()
-        stub = "@overload" in before.replace(" ", "") or "@typing.overload" in before or body in ("...", "")
+        stub = "@overload" in before.replace(" ", "") or "@typing.overload" in before
         yield name, f"{outer}.{name}" if outer else name, text[paren + 1 : end - 1], comment, docstring, top, not stub, text[m.start() : stop].rstrip()
 
 
@@ -368,7 +367,7 @@ def separate_docs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("repo_id", "sha", "path", "line").agg(F.min("doc").alias("above_doc"))
     )
     bodiless = (
-        F.col("content").contains("overload") | F.lower("path").rlike(r"\.(d\.ts|pyi)$") | F.col("content").rlike(r":[ \t]*\.\.\.")
+        F.col("content").contains("overload") | F.lower("path").rlike(r"\.(d\.ts|pyi)$")
         | F.col("content").rlike(r"(?m)^[ \t]*(export[ \t]+)?(declare[ \t]+)?(async[ \t]+)?function[ \t]+\w+[^{}]*\)[ \t]*(:[^{};=]+)?;")
         | F.col("content").rlike(r"(?m)^[ \t]+(abstract[ \t]+)?\w+\([^(){}]*\)[ \t]*:[^{};=()]+;[ \t\r]*$")
     )
