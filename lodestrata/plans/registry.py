@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
-from lodestrata.operators import browse, citations, evaluate, filters, search, tools
+from lodestrata.operators import browse, chunking, citations, evaluate, filters, search, tools
 from lodestrata.sources import corpus, store
 from lodestrata.streaming import progress
 
@@ -188,6 +188,23 @@ def url_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "r.owner", "r.name")
 
 
+# ----------------------------------------------------------------- chunking
+
+
+@query()
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of every source file."""
+    return chunking.chunk_files(table(spark, d, "files"))
+
+
+@query("SELECT DISTINCT repo_id, sha, path, name, kind, parent_symbol, line FROM symbols")
+def symbol_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols read from the source of every file that has symbols in the table."""
+    known = table(spark, d, "symbols").select("repo_id", "sha", "path").distinct()
+    rows = chunking.extract_symbols(table(spark, d, "files")).drop("file_id").distinct()
+    return rows.join(known, ["repo_id", "sha", "path"], "left_semi").select("repo_id", "sha", "path", "name", "kind", "parent_symbol", "line")
+
+
 # ------------------------------------------------------------------- search
 
 _LEX = f"SELECT id, {_SCORE} AS score FROM (SELECT doc_id AS id, {_tokens('text')} AS t FROM documents) WHERE "
