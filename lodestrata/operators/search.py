@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.text import words
-from lodestrata.functions.vector import cosine_distance
+from lodestrata.functions.vector import bucket, cosine_distance, unit
 
 CANDIDATES = 50
 RRF_K = 60
@@ -65,6 +65,20 @@ def phrase(texts: DataFrame, terms: list[str]) -> DataFrame:
     return texts.where(F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).contains(joined)).select("id")
 
 
+def hashed_counts(texts: DataFrame, dims: int = 64) -> DataFrame:
+    """(id, counts): how many words of each text (id, text) fall into each of so many buckets; a text without words has no row."""
+    rows = texts.select("id", F.explode(words(F.col("text"))).alias("word")).groupBy("id", bucket(F.col("word"), dims).alias("b")).agg(F.count("*").alias("n"))
+    found = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    return found.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0))).alias("counts"))
+
+
+def embed(texts: DataFrame, dims: int = 64, model=None) -> DataFrame:
+    """(id, embedding) of texts (id, text): by a model, a function from that DataFrame to this, or by hashed word counts."""
+    if model is not None:
+        return model(texts)
+    return hashed_counts(texts, dims).select("id", unit(F.col("counts")).alias("embedding"))
+
+
 def nearest(vectors: DataFrame, query: Column, k: int | None = CANDIDATES) -> DataFrame:
     """(id, distance) of the vectors (id, embedding) closest to a query vector, exact."""
     out = vectors.select("id", cosine_distance(F.col("embedding"), query).alias("distance")).where("distance is not null")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.functions import text as tx
 from lodestrata.operators import browse, chunking, citations, evaluate, filters, search, tools
@@ -274,6 +275,15 @@ def hybrid_lexical_only(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(_texts(spark, d), _vectors(spark, d).where(F.size("embedding") < 0), TERMS, _query_vector())
 
 
+@query(
+    f"""SELECT id, array_to_string(list_transform(range(64), lambda b: len(list_filter(h, lambda x: x = b))), ' ') AS counts FROM (
+    SELECT doc_id AS id, list_transform({_tokens('text')}, lambda w: CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) % 64) AS h FROM documents) WHERE len(h) > 0"""
+)
+def embed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The hashed word counts that stand in for every document's vector."""
+    return search.hashed_counts(_texts(spark, d)).select("id", F.array_join(F.col("counts").cast("array<string>"), " ").alias("counts"))
+
+
 # -------------------------------------------------------------------- tools
 
 
@@ -475,6 +485,29 @@ def recall_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.report(rows)
 
 
+@query(
+    """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"""
+)
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events by hour and type, the batch form of the progress stream (an extension)."""
+    rows = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type")
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(
+    """SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS began, max(ts) AS ended FROM (
+    SELECT *, sum(CASE WHEN p IS NULL OR date_diff('microsecond', p, ts) > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+    SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, session"""
+)
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of every user, parted by an hour of silence (an extension)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
+    rows = table(spark, d, "events").withColumn("new", F.when(gap <= 3_600_000_000, 0).otherwise(1)).withColumn("session", F.sum("new").over(w))
+    return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended"))
+
+
 # -------------------------------------------------------- store and progress
 
 
