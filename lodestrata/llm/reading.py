@@ -65,9 +65,10 @@ _BULLET = re.compile(r"(?:[-*+>]|\d+[.)])\s+")
 _SPAN = re.compile(r"\(see `[^`]*`\)|`[^`]*`")
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
 _HTML = re.compile(r"<[^>\s][^>]*>")
+_DOTTED = re.compile(r"\.\w")
 _NO_WORD = re.compile(r"[/\\_@]|\w\.\w|\w\(\)")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
-_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*+")
 # Frequent function words that English lacks.
 _FOREIGN = frozenset(
     "der die das und ist nicht mit ein eine einen den dem des für von auf werden wird el la los las una que con para por del es se le les des est dans pour sur une il lo gli di che per non della são não uma os".split()
@@ -88,23 +89,23 @@ def prose(text: str) -> str:
         if line[:3] in ("```", "~~~"):
             fence = line[:3]
             continue
-        if raw[:4] == "    " or raw[0] == "\t" or _NOT_PROSE.match(line):
+        # a line that begins like a sentence needs no closer look unless it holds a colon or a file's name
+        if raw[:4] == "    " or raw[0] == "\t" or (":" in line or not line[0].isupper() or line[:4] == "File") and _NOT_PROSE.match(line):
             continue
         if line[0] in "-*+>0123456789" and (m := _BULLET.match(line)):
             line = line[m.end() :].strip()
             if not line or _NOT_PROSE.match(line):
                 continue
+        if "`" in line:
+            line = _SPAN.sub(" ", line)
+        if "](" in line:
+            line = _LINK.sub(r" \1 ", _IMAGE.sub(" ", line))
+        if "<" in line:
+            line = _HTML.sub(" ", line)
+        if "/" in line or "_" in line or "@" in line or "\\" in line or "()" in line or _DOTTED.search(line):
+            line = " ".join([w for w in line.split() if not _NO_WORD.search(w)])
         kept.append(line)
-    text = "\n".join(kept)
-    if "`" in text:
-        text = _SPAN.sub(" ", text)
-    if "](" in text:
-        text = _LINK.sub(r" \1 ", _IMAGE.sub(" ", text))
-    if "<" in text:
-        text = _HTML.sub(" ", text)
-    if _NO_WORD.search(text):
-        text = " ".join([w for w in text.split() if not _NO_WORD.search(w)])
-    return text
+    return "\n".join(kept)
 
 
 class _Hashes(dict):
