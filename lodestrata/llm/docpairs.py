@@ -388,7 +388,7 @@ def pair(chunks: DataFrame, with_code: bool = True) -> DataFrame:
     if not with_code:
         table = table.drop("code")
     comments, declared = separate_docs(chunks)
-    own = -1 - F.abs(F.hash("chunk_id", "qualified"))  # a key without a partner for those that need none
+    own = -1 - F.pmod(F.hash("chunk_id", "qualified"), F.lit(2**31 - 2))  # a key without a partner for those that need none
     table = table.withColumn("line", F.when(F.col("doc").isNull(), F.col("top_line"))).withColumn("line", F.coalesce("line", own))
     near = table.join(comments, ["repo_id", "sha", "path", "line"], "left")
     near = near.withColumn("above_doc", _documentation("above_doc", "symbol_name")).withColumn("origin", F.when(F.col("doc").isNotNull(), F.col("origin")).when(F.col("above_doc").isNotNull(), "module comment"))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut
+from lodestrata.llm.common import cut, small
 from lodestrata.llm.tokens import TOKENIZER, sizes
 
 #: Items packed together in one task; a documented bound on what a task holds.
@@ -87,8 +87,7 @@ def items(sized: DataFrame, budgets: DataFrame, loss_share: float = LOSS_SHARE)
     """Every document for every budget, cut where it exceeds the capacity: with first_token, n_tokens, loss_tokens, full and whole."""
     limits = budgets.where("capacity_tokens >= 1").groupBy("budget_name").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     limits = limits.withColumn("max_loss", F.greatest(F.floor(F.col("capacity_tokens") * loss_share), F.lit(1)))
-    # budgets are a handful of rows: each document is meant to meet each of them
-    rows = sized.join(F.broadcast(limits.limit(1000)))
+    rows = sized.crossJoin(small(limits))  # each document is meant to meet each budget
     prompt = F.col("n_tokens") - F.col("loss_tokens")
     # a cut part holds at most step tokens, so that even a part that bears loss throughout keeps the limit
     fits = (F.col("n_tokens") <= F.col("capacity_tokens")) & (F.col("loss_tokens") <= F.col("max_loss"))
