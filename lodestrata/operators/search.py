@@ -31,18 +31,26 @@ def tf_score(tokens: Column, terms: list[str]) -> Column:
 def lexical(texts: DataFrame, terms: list[str], every: bool = True, k: int | None = CANDIDATES) -> DataFrame:
     """(id, score) of the texts (id, text) that hold every term, or any, best first.
 
-    A plain ``contains`` on each rarest possible substring comes first: it is
-    pushed to the scan's rows and spares the tokeniser most texts.
+    A plain ``contains`` comes before the tokeniser and spares it most texts.
     """
+    scored = _scored(texts, terms, every)
+    if every:
+        scored = scored.where("strict")
+    scored = scored.select("id", "score")
+    return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)
+
+
+def _scored(texts: DataFrame, terms: list[str], every: bool) -> DataFrame:
+    """(id, score, strict) of the texts with any term, or with ``every`` at least those with all; strict: it has all."""
     terms = list(dict.fromkeys(t.lower() for t in terms))
     if not terms:
-        return texts.select("id", F.lit(0.0).alias("score")).limit(0)
+        return texts.select("id", F.lit(0.0).alias("score"), F.lit(False).alias("strict")).limit(0)
     has = [F.lower("text").contains(t) for t in terms]
-    narrowed = texts.where(_all(has) if every else _any(has))
-    tokens = narrowed.select("id", words(F.col("text")).alias("tokens"))
-    hit = [F.array_contains("tokens", t) for t in terms]
-    scored = tokens.where(_all(hit) if every else _any(hit)).select("id", tf_score(F.col("tokens"), terms).alias("score"))
-    return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)
+    tokens = texts.where(_all(has) if every else _any(has)).select("id", words(F.col("text")).alias("tokens"))
+    # only the terms among the words, so that counting them is short work
+    tokens = tokens.select("id", F.filter("tokens", lambda t: t.isin(*terms)).alias("tokens")).where(F.size("tokens") > 0)
+    strict = _all([F.array_contains("tokens", t) for t in terms])
+    return tokens.select("id", tf_score(F.col("tokens"), terms).alias("score"), strict.alias("strict"))
 
 
 def _all(tests: list[Column]) -> Column:
@@ -112,11 +120,9 @@ def hybrid(texts: DataFrame, vectors: DataFrame, terms: list[str], query: Column
     Without any vector the lexical half takes texts with any term instead of every term.
     """
     near = ranked(nearest(vectors.join(texts.select("id"), "id", "left_semi"), query, candidates), F.col("distance"), F.col("id"))
-    strict = lexical(texts, terms, every=True, k=None)
-    broad = lexical(texts, terms, every=False, k=None)
     has_vectors = near.limit(1).agg((F.count("*") > 0).alias("has_vectors"))
-    both = strict.withColumn("strict", F.lit(True)).unionByName(broad.withColumn("strict", F.lit(False)))
-    chosen = both.join(F.broadcast(has_vectors), F.col("strict") == F.col("has_vectors")).select("id", "score")  # one row decides
+    # one row decides which of the matches count
+    chosen = _scored(texts, terms, every=False).crossJoin(F.broadcast(has_vectors)).where("strict or not has_vectors").select("id", "score")
     lex = ranked(chosen.orderBy(F.desc("score"), "id").limit(candidates), F.desc("score"), F.col("id"))
     best = rrf(near.unionByName(lex)).orderBy(F.desc("score"), "id").limit(k)
     return texts.join(F.broadcast(best), "id").select("id", "score", "text").orderBy(F.desc("score"), "id")
