@@ -15,7 +15,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             return f"{float(v):.9g}"
