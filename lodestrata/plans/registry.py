@@ -574,7 +574,9 @@ def stage_total(spark: SparkSession, d: str) -> DataFrame:
     return progress.stage_totals(table(spark, d, "index_runs"))
 
 
-@query()
+@query(
+    """SELECT event_id, 'data: ' || j || chr(10) || chr(10) AS frame, j AS payload FROM (SELECT event_id, CAST(to_json({'event_id': event_id, 'event_type': event_type, 'value': value}) AS VARCHAR) AS j FROM events)"""
+)
 def sse_frames(spark: SparkSession, d: str) -> DataFrame:
     """Every event as a frame, and what a client reads from it."""
     framed = table(spark, d, "events").select("event_id", progress.frame(F.struct("event_id", "event_type", "value")).alias("frame"))
