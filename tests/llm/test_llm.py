@@ -316,6 +316,19 @@ def test_p5_clusters_equal_brute_force(spark):
     assert groups({r.file_id: r.cluster for r in origin.clusters(measured, "fine").collect()}) == groups(label)
 
 
+def test_p5_copies_with_renamed_names(spark):
+    rnd = random.Random(3)
+    lines = [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 60)} = {rnd.choice('pqrs')}{rnd.randint(0, 9)}.get({rnd.randint(0, 999)}) {rnd.choice('+-*/')} {rnd.randint(0, 99)};" for _ in range(80)]
+    code = "\n".join(lines)
+    renamed = code
+    for c in "pqrs":
+        renamed = renamed.replace(f" {c}", f" other_{c}")
+    table = files(spark, ("a.js", code, 1), ("b.js", renamed, 2), ("part.js", "\n".join(renamed.split("\n")[:40]), 3))
+    upstream = spark.createDataFrame([("l", "1", "lib.js", code)], "lib string, version string, file_name string, content string")
+    assert {r.path for r in origin.origins(table, upstream).where("vendored").collect()} == {"a.js", "b.js", "part.js"}
+    assert {r.path for r in origin.origins(table, upstream.where("false")).where("cluster is not null").collect()} == {"a.js", "b.js"}
+
+
 # ------------------------------------------------------------ p6
 
 
