@@ -329,6 +329,13 @@ def test_p5_copies_with_renamed_names(spark):
     assert {r.path for r in origin.origins(table, upstream.where("false")).where("cluster is not null").collect()} == {"a.js", "b.js"}
 
 
+def test_p5_copies_in_a_bucket_with_an_unlike_least_member(spark):
+    rows = [(i, i, list(range(a, a + 50)), list(range(a, a + 20)), i - 9, [7]) for i, a in enumerate((0, 500, 501, 900, 1300, 1301))]
+    measured = spark.createDataFrame(rows, "file_id long, repo_id long, fine array<int>, words array<int>, fine_hash long, fine_bands array<long>")
+    got = {r.file_id: r.cluster for r in origin.clusters(measured, "fine").collect()}
+    assert got[1] == got[2] and got[4] == got[5] and len(set(got.values())) == 4
+
+
 # ------------------------------------------------------------ p6
 
 
