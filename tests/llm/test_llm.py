@@ -336,6 +336,14 @@ def test_p5_copies_in_a_bucket_with_an_unlike_least_member(spark):
     assert got[1] == got[2] and got[4] == got[5] and len(set(got.values())) == 4
 
 
+def test_p5_families_of_files_in_one_repository(spark):
+    form = "\n".join(f"{'if while for return'.split()[i % 4]} ({'+-*/%&|^'[i % 8]}x[{i}]{'([{<'[i % 3]}y, 'k{i}'{'=><!'[i // 3 % 4]} z{';,.:'[i // 5 % 4]}" for i in range(60))
+    made = lambda k: form.replace("x", f"x{k}").replace("k", f"k{k}").replace("z", f"z{k}")
+    rows = [(f"clients/c{k}.js", made(k), 1) for k in range(5)] + [("one.js", made(9), 2), ("one.js", made(9).replace("z", "w"), 2), ("two.js", made(8), 3)]
+    got = [(r.path, r.repo_id) for r in origin.origins(files(spark, *rows), spark.createDataFrame([], "lib string, version string, file_name string, content string")).where("generated").collect()]
+    assert sorted(got) == [(f"clients/c{k}.js", 1) for k in range(5)]
+
+
 # ------------------------------------------------------------ p6
 
 
