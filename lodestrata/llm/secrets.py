@@ -55,6 +55,14 @@ ISSUERS = {
     "AIza": r"AIza[A-Za-z0-9_\-]{35}",
     "sk_live_": r"sk_live_[A-Za-z0-9]{24,}",
     "rk_live_": r"rk_live_[A-Za-z0-9]{24,}",
+    "ghu_": r"ghu_[A-Za-z0-9]{36}",
+    "ghr_": r"ghr_[A-Za-z0-9]{36,}",
+    "xoxa-": r"xoxa-[A-Za-z0-9\-]{20,}",
+    "xoxs-": r"xoxs-[A-Za-z0-9\-]{20,}",
+    "xapp-": r"xapp-[A-Za-z0-9\-]{20,}",
+    "SG.": r"SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}",
+    "hf_": r"hf_[A-Za-z0-9]{34}",
+    "sk-": r"sk-(?:[a-z]+-){0,2}[A-Za-z0-9_]{32,}",
     "xoxb-": r"xoxb-[A-Za-z0-9\-]{20,}",
     "xoxp-": r"xoxp-[A-Za-z0-9\-]{20,}",
     "eyJ": r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+",
@@ -62,18 +70,15 @@ ISSUERS = {
     "ncl-": r"ncl-[0-9a-f]{40}",
     "qvl_": r"qvl_[A-Za-z0-9]{32}",
 }
-# Words that make a line worth reading, lower case.
+# What the name of a credential ends in; the kinds of key come before "key", with or without a mark between.
+NAMES = ("password", "passwd", "passphrase", "pass", "pwd", "pw", "secret", "token", "auth", "credential", "credentials", "cred")
+KEY_KINDS = ("api", "access", "secret", "signing", "encryption", "private", "deploy", "tls", "ssh", "account", "service")
+_NAME = re.compile(rf"(?:^|_)(?:{'|'.join(NAMES)}|(?:{'|'.join(KEY_KINDS)})_?key)$")
+#: Words that make a line worth reading, lower case: all that :data:`_NAME` accepts, and what other rules look for.
 KEYWORDS = (
-    "passw", "_pass", "smtppass", "pass=", "pass:", "_pw", "adminpw", "pw=", "pw:", 'pw"', "pwd", "secret", "token", "api_key", "apikey", "api-key",
-    "access_key", "accesskey", "signing_key", "signingkey", "encryption_key", "encryptionkey", "private_key", "privatekey", "deploy_key", "tls_key",
-    "ssh_key", "private key-----", "auth:", "auth=", 'auth"', "auth'", "_auth", "redisauth", "authorization", "cred", "://", "createclient", "connect(",
-    "login", "works", "fixme rotate",
+    *NAMES, *(f"{kind}{mark}key" for kind in KEY_KINDS for mark in ("", "_", "-")),
+    "private key-----", "://", "client(", "createclient", "connect(", "login", "works", "rotate", "key=",
 )
-# What the name of a credential ends in.
-_NAME = re.compile(
-    r"(?:^|_)(?:password|passwd|passphrase|pass|pwd|pw|secret|token|auth|credentials?|cred|"
-    r"(?:api|access|secret|signing|encryption|private|deploy|tls|ssh|account|service)_?key)$"
-)
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:x+|\*+|\.+|-+|_+|none|null|undefined|true|false|todo.*|fixme.*|tbd|n/?a|test|dummy.*|sample.*|fake.*|redacted.*|"
     r"your[-_ ].*|my[-_ ].*|some[-_ ].*|enter[-_ ].*|insert[-_ ].*)$|example|change_?me|replace[-_]?(?:me|with)|placeholder|xxxx|\*\*\*"

@@ -122,6 +122,17 @@ def test_p2_lines(text, config, lines):
     assert sorted({text.count("\n", 0, a) + 1 for a, _, _ in secrets.scan_text(text, config)}) == lines
 
 
+@pytest.mark.parametrize("name", [*secrets.NAMES, *(f"{k}{m}key" for k in secrets.KEY_KINDS for m in ("", "_", "-")), "dbPass", "serviceKey", "tlsKey", "x_pw"])
+def test_p2_every_name_is_read(name):
+    assert secrets._is_name(name) and len(secrets.scan_text(f'"{name}": "Socket6281!x"', False)) == 1
+
+
+def test_p2_issuers():
+    body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8s9T0u1V2w3"
+    for value in ("ghu_" + body[:36], "ghr_" + body[:36], "xoxs-" + body[:24], "SG." + body[:22] + "." + body[:43], "hf_" + body[:34], "sk-" + body):
+        assert len(secrets.scan_text(f'x = "{value}"', False)) == 1, value
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from([f'token = "{KEY}"', PEM, "password: Hidden.badge.4226", "x = 1", "url = redis://u:jRM91aZNhl@h/x", "İé🙂", ""]), max_size=8))
 def test_p2_redaction_keeps_the_shape_and_leaves_nothing(parts):
