@@ -46,6 +46,12 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
 
 
+def partitions(df: DataFrame) -> int:
+    """Partitions for work that is heavy for its bytes: as many as a shuffle has, or one a core if that is more."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Take the shared folder the session names; only without one, as in tests, make a local one."""
     sc = spark.sparkContext

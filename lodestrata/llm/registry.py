@@ -75,6 +75,11 @@ def p5_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin.origins(spread(read(spark, sf_dir, "files")), read(spark, sf_dir, "upstream_files"))
 
 
+def p5_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many source files each combination of evidence decides."""
+    return origin.evidence(spread(read(spark, sf_dir, "files")), read(spark, sf_dir, "upstream_files"))
+
+
 def p5_hand_written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of hand-written source files only."""
     files = read(spark, sf_dir, "files")
@@ -143,6 +148,7 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_origins": p5_origins,
+    "p5_evidence": p5_evidence,
     "p5_hand_written_chunks": p5_hand_written_chunks,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,

@@ -324,7 +324,8 @@ def test_p5_clusters_equal_brute_force(spark):
                 old, new = label[j], label[i]
                 label = {k: new if v == old else v for k, v in label.items()}
     groups = lambda of: sorted(sorted(k for k in of if of[k] == v) for v in set(of.values()))
-    assert groups({r.file_id: r.cluster for r in origin.clusters(measured, "fine").collect()}) == groups(label)
+    got = origin.clusters(measured, "fine").join(measured.select("row", "file_id"), "row")
+    assert groups({r.file_id: r.cluster for r in got.collect()}) == groups(label)
 
 
 def test_p5_copies_with_renamed_names(spark):
@@ -340,13 +341,43 @@ def test_p5_copies_with_renamed_names(spark):
     assert {r.path for r in origin.origins(table, upstream.where("false")).where("cluster is not null").collect()} == {"a.js", "b.js"}
 
 
+def bucketed(spark, sets, bands):
+    rows = [(i, i, i, 200, s, s[:20], i - 9, b) for i, (s, b) in enumerate(zip(sets, bands, strict=True))]
+    measured = spark.createDataFrame(rows, "row long, file_id long, repo_id long, n_tokens int, fine array<int>, words array<int>, node long, fine_bands array<long>")
+    return {r.row: r.cluster for r in origin.clusters(measured, "fine").collect()}
+
+
 def test_p5_copies_in_a_bucket_with_an_unlike_least_member(spark):
-    rows = [(i, i, list(range(a, a + 50)), list(range(a, a + 20)), i - 9, [7]) for i, a in enumerate((0, 500, 501, 900, 1300, 1301))]
-    measured = spark.createDataFrame(rows, "file_id long, repo_id long, fine array<int>, words array<int>, fine_hash long, fine_bands array<long>")
-    got = {r.file_id: r.cluster for r in origin.clusters(measured, "fine").collect()}
+    got = bucketed(spark, [list(range(a, a + 50)) for a in (0, 500, 501, 900, 1300, 1301)], [[7] + [100 + i] * 31 for i in range(6)])
     assert got[1] == got[2] and got[4] == got[5] and len(set(got.values())) == 4
 
 
+def test_p5_a_bucket_above_the_bound_is_cut_by_the_next_bands(spark):
+    n = origin.PAIR_BUCKET
+    sets = [list(range(0, 50))] + [list(range(1000 * k, 1000 * k + 50 + j)) for k in range(1, n) for j in (0, 1)]  # pairs, none like the least member
+    bands = [[7, 0, 0, *range(29)]] + [[7, k, k, *(31 * k + x for x in range(29))] for k in range(1, n) for _ in (0, 1)]
+    got = bucketed(spark, sets, bands)
+    assert all(got[2 * k - 1] == got[2 * k] for k in range(1, n)) and len(set(got.values())) == n
+
+
+def test_p5_link_recall_on_the_given_files(spark, sf):
+    folder = sf.replace("sf0.001", "sf0.01")
+    rows = origin.features(registry.read(spark, folder, "files"), registry.read(spark, folder, "upstream_files"))
+    measured = origin.cut(rows.where("size(fine) > 0"))
+    first = {r.node: r for r in sorted(measured.collect(), key=lambda r: -r.row)}
+    nodes = [first[k] for k in sorted(first)]
+    fine, words = [set(r.fine) for r in nodes], [set(r.words) for r in nodes]
+    true = set()
+    for i in range(len(nodes)):
+        for j in range(i):
+            if len(fine[i] & fine[j]) >= 0.8 * len(fine[i] | fine[j]):
+                least = origin.SMALL_SIMILAR if min(nodes[i].n_tokens, nodes[j].n_tokens) < origin.SMALL_TOKENS else origin.WORDS_SIMILAR
+                if len(words[i] & words[j]) >= least * len(words[i] | words[j]):
+                    true.add((nodes[i].node, nodes[j].node))
+    got = {(r.node, r.other) for r in origin.links(measured, "fine").collect()}
+    assert len(true) > 5 and got <= true and len(got) >= 0.9 * len(true)
+
+
 def test_p5_families_of_files_in_one_repository(spark):
     form = "\n".join(f"{'if while for return'.split()[i % 4]} ({'+-*/%&|^'[i % 8]}x[{i}]{'([{<'[i % 3]}y, 'k{i}'{'=><!'[i // 3 % 4]} z{';,.:'[i // 5 % 4]}" for i in range(60))
     made = lambda k: form.replace("x", f"x{k}").replace("k", f"k{k}").replace("z", f"z{k}")
