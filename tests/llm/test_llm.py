@@ -262,7 +262,7 @@ k = 1
 
 def invalid_ts(text, path="a.ts"):
     found = syntax.cut_file(text, path)
-    return bool(found.edits) or any(syntax.shape_cost(s) for s in found.shapes)
+    return bool(found.edits) or any(syntax.shape_cost(s) for s in found.raw)
 
 
 def test_p3_typescript_that_parses():
@@ -306,6 +306,39 @@ def test_p3_reasons_and_rates(spark):
     assert syntax.rates(table.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("text", ["x[1:2:3:4]\n", "f() = 3\n", "x = 5 = y\n", "[a b c d e]\n", "try:\n  a\nexcept B, e:\n  c\n", "{'a': 1, 'b'}\n", "f(a=1, b)\n", "f(a: int)\n", "1 = x\n", "x = 0777\n", "'\\Ux'\n", "f() += 1\n"])
+def test_p3_a_cost_alone_flags_python(text):
+    found = syntax.cut_file(text, "a.py")
+    assert len(found.edits) + sum(syntax.shape_cost(s) * n for s, (_, _, n) in found.raw.items()) > 0
+
+
+def test_p3_every_occurrence_counts_and_every_place_is_kept(spark):
+    table = files(spark, ("a.py", "a b\n" * 3), ("b.py", ")\n" * 1500), ("c.py", "x = a b c\n"))
+    got = {r.path: r for r in syntax.repairs(table).collect()}
+    assert got["a.py"].cost == 3 * syntax.shape_cost(next(iter(syntax.cut_file("a b\n", "a.py").raw)))
+    assert got["b.py"].cost == got["b.py"].n_edits == 1500 and {r.path: r.cost for r in syntax.repairs(table, max_edits=5).collect()}["c.py"] <= 3
+
+
+def test_p3_reasons_of_planted_faults(spark, sf):
+    """Valid files of the given table, cut off, with a conflict, or under a wrong extension; faults that leave a file valid are not flagged."""
+    table = registry.read(spark, sf.replace("sf0.001", "sf0.01"), "files")
+    valid = syntax.repairs(table).where("not invalid").select("file_id").join(table.withColumnRenamed("id", "file_id"), "file_id").orderBy("file_id").collect()
+    rnd, rows, want = random.Random(4), [], {}
+    for n, r in enumerate([r for r in valid if r.content.count("\n") > 12][:150]):
+        text, lines, path = r.content, r.content.split("\n"), r.path
+        want[n] = ("truncation", "conflict", "mismatch")[n % 3]
+        if n % 3 == 0:
+            text = text[: rnd.randint(len(text) // 3, len(text) - 20)]
+        elif n % 3 == 1:
+            k = rnd.randrange(2, len(lines) - 3)
+            text = "\n".join([*lines[:k], "<<<<<<< HEAD", lines[k], "=======", lines[k] + " ", ">>>>>>> other", *lines[k + 1 :]])
+        else:
+            path = path.rsplit(".", 1)[0] + (".ts" if path.endswith(".py") else ".py")
+        rows.append((n, 1, "s", path, text, ""))
+    got = [(want[r.file_id], r.reason) for r in syntax.repairs(spark.createDataFrame(rows, FILES)).where("invalid").collect()]
+    assert len(got) > 100 and sum(a == b for a, b in got) >= 0.9 * len(got)
+
+
 # ------------------------------------------------------------ p4
 
 
