@@ -6,14 +6,15 @@ tokens. A document's number of copies is a Poisson variable with that mean,
 inverted at a uniform number that a seeded hash of (document, mix) gives, so
 that a rerun and a lost task draw the same. Copies are capped at
 ``max_repeats``; the Poisson mean is raised so that the capped variable has the
-wanted mean. Of :data:`TRIALS` seeds each mix and source takes the one whose
-draw comes closest to the target. A source whose rate reaches the cap is used exactly
+wanted mean. One seed serves all draws; how near a draw comes to its target is
+for the report to say. A source whose rate reaches the cap is used exactly
 ``max_repeats`` times over and still may fall short of its share; the report says so.
 
 Token counts come from one Arrow pass and are written to the shared checkpoint
 folder, so the texts are read once. A source may hold a third of all rows:
 totals are pre-aggregated per partition, and the join with the targets is salted
-on both sides (the targets are one row a mix and source).
+on both sides, by the size of the largest source (the targets are one row a mix
+and source, repeated once a salt).
 
 Defined results:
 
@@ -38,10 +39,8 @@ from pyspark.sql import types as T
 from lodestrata.llm.common import cut
 from lodestrata.llm.tokens import TOKENIZER, sizes, source_key
 
-#: Pieces that each source is dealt into for the join with its targets.
-SALTS = 64
-#: Seeds drawn from; the draw closest to the target is used.
-TRIALS = 16
+#: Documents of one source that meet their targets in one task.
+ROWS_A_SALT = 100_000
 
 
 def capped_poisson_cdf(rate: float, cap: int) -> list[float]:
@@ -97,30 +96,23 @@ class Mix:
         schema = T.StructType([*planned.schema.fields, T.StructField("cdf", T.ArrayType(T.DoubleType()))])
         #: One row a mix and source: share, cap, tokens there are, rate, and the distribution that copies are drawn from.
         self.plan = cut(planned.mapInPandas(_with_cdf, schema))
-        trials = self._counts(self.plan.withColumn("seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + TRIALS - 1)))))
-        drawn = trials.groupBy("mix_id", "source", "seed").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
-        drawn = drawn.join(self.plan.select("mix_id", "source", (F.col("target_share") * F.col("total_tokens")).alias("wanted")), ["mix_id", "source"])
-        off = F.abs(F.col("mixed_tokens") - F.col("wanted"))
-        best = drawn.groupBy("mix_id", "source").agg(F.min_by(F.struct("seed", "mixed_tokens", "most_copies"), F.struct(off, "seed")).alias("best"))
-        #: The plan with the seed of each mix and source and what it draws.
+        largest = by_source.agg(F.max("n_docs")).first()[0] or 0
+        self.salts = max(1, -(-largest // ROWS_A_SALT))
+        drawn = self.counts().groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
+        #: The plan with what each mix and source draws.
         self.drawn = cut(
-            self.plan.join(best, ["mix_id", "source"], "left")
-            .withColumns({"seed": F.coalesce("best.seed", F.lit(seed)), "mixed_tokens": F.coalesce("best.mixed_tokens", F.lit(0)), "most_copies": F.coalesce("best.most_copies", F.lit(0))})
-            .drop("best")
-        )
+            self.plan.join(drawn, ["mix_id", "source"], "left").withColumns({"mixed_tokens": F.coalesce("mixed_tokens", F.lit(0)), "most_copies": F.coalesce("most_copies", F.lit(0))})
+        )
 
-    def _counts(self, plan: DataFrame) -> DataFrame:
-        salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
-        dealt = plan.select("mix_id", "source", "seed", "cdf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    def counts(self) -> DataFrame:
+        """(mix_id, source, doc_id, row, n_tokens, copies): how often each document is taken, 0 included."""
+        salt = F.pmod(F.xxhash64("row"), F.lit(self.salts)).cast("int")
+        dealt = self.plan.select("mix_id", "source", "cdf", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))).alias("salt"))
         rows = self.sizes.where("source is not null").withColumn("salt", salt).join(dealt, ["source", "salt"])
         # 53 bits of the hash as a number from 0 up to 1
-        uniform = F.shiftrightunsigned(F.xxhash64("seed", "mix_id", "doc_id", "row"), 11) / F.lit(float(1 << 53))
+        uniform = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), "mix_id", "doc_id", "row"), 11) / F.lit(float(1 << 53))
         # a cut-off distribution gives the cap when the number lies above all of it
-        return rows.withColumn("u", uniform).select("mix_id", "source", "seed", "doc_id", "row", "n_tokens", F.size(F.filter("cdf", lambda c: F.col("u") >= c)).alias("copies"))
-
-    def counts(self) -> DataFrame:
-        """(mix_id, source, doc_id, row, n_tokens, copies): how often each document is taken, 0 included."""
-        return self._counts(self.drawn).drop("seed")
+        return rows.withColumn("u", uniform).select("mix_id", "source", "doc_id", "row", "n_tokens", F.size(F.filter("cdf", lambda c: F.col("u") >= c)).alias("copies"))
 
     def shares(self) -> DataFrame:
         """(mix_id, source, target_share, actual_share, target_tokens, mixed_tokens, source_tokens, n_docs, rate, most_copies, short)."""

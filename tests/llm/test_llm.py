@@ -479,11 +479,12 @@ def test_p5_families_of_files_in_one_repository(spark):
 @given(st.lists(st.tuples(st.integers(0, 100), st.integers(0, 100)), min_size=1, max_size=60), st.integers(1, 6), st.integers(50, 100))
 def test_p6_no_container_breaks_a_limit(sizes, segments, most_loss):
     tokens = np.array([t for t, _ in sizes])
-    loss = np.minimum(np.array([x for _, x in sizes]), np.minimum(tokens, most_loss))
+    loss = np.minimum(np.array([x for _, x in sizes]), tokens)
     bins = packing.pack_block(tokens, loss, 100, segments, most_loss)
     for b in set(bins):
         inside = bins == b
-        assert tokens[inside].sum() <= 100 and inside.sum() <= segments and loss[inside].sum() <= most_loss
+        alone = (loss[inside] > 0).sum() <= 1  # an item above the loss limit shares its container with none that bears loss
+        assert tokens[inside].sum() <= 100 and inside.sum() <= segments and (loss[inside].sum() <= most_loss or alone)
     if segments >= 6 and most_loss == 100:
         assert len(set(bins)) <= 2 * max(1, -(-tokens.sum() // 100)) + len(sizes) // segments + 1
 
@@ -495,15 +496,16 @@ def test_p6_every_token_lies_in_one_container(spark, sf):
     packed = packing.pack(docs, budgets, max_segments=10, loss_share=0.9, block_items=100).cache()
     total = packing.sizes(docs).agg(F.sum("n_tokens")).first()[0]
     assert {r.budget_name: r.t for r in packed.groupBy("budget_name").agg(F.sum("n_tokens").alias("t")).collect()} == {"small": total, "large": total}
-    by = packed.groupBy("budget_name", "container").agg(F.sum("n_tokens").alias("t"), F.sum("loss_tokens").alias("x"), F.count("*").alias("n"), F.max("capacity_tokens").alias("c"))
-    assert by.where("t > c or n > 10 or x > greatest(floor(c * 0.9), 1)").count() == 0
-    assert packed.where("not whole and budget_name = 'large'").join(packing.sizes(docs).where("n_tokens <= 1000 and loss_tokens <= 900").select("doc_id"), "doc_id", "left_semi").count() == 0
+    by = packed.groupBy("budget_name", "container").agg(F.sum("n_tokens").alias("t"), F.sum("loss_tokens").alias("x"), F.count_if(F.col("loss_tokens") > 0).alias("bearing"), F.count("*").alias("n"), F.max("capacity_tokens").alias("c"))
+    assert by.where("t > c or n > 10 or (x > greatest(floor(c * 0.9), 1) and bearing > 1)").count() == 0
+    assert packed.where("not whole and budget_name = 'large'").join(packing.sizes(docs).where("n_tokens <= 1000").select("doc_id"), "doc_id", "left_semi").count() == 0
     assert packing.pack(docs.where("false"), budgets).collect() == []
 
 
 def test_p6_containers_are_nearly_full(spark, sf):
     got = packing.fill(packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pack_budgets.parquet"))).collect()
     assert len(got) == 3 and all(r.fill > 0.9 for r in got)
+    assert all(0 < r.at_loss_limit < 1 for r in got)  # the limit on loss binds in some containers
 
 
 # ------------------------------------------------------------ p7
@@ -524,7 +526,9 @@ def test_p7_mix(spark):
     got = {(r.mix_id, r.source): r for r in mix.shares().collect()}
     assert {k for k, r in got.items() if r.short} == {(1, "tiny"), (2, "wiki"), (2, "empty")}
     for key in ((1, "readme"), (1, "read_me")):
-        assert abs(got[key].mixed_tokens / got[key].target_tokens - 1) < 0.05
+        # one draw of a Poisson number for each document: its spread follows from the rate and the sizes
+        sizes = mix.sizes.where(F.col("source") == key[1]).agg(F.sum(F.col("n_tokens") * F.col("n_tokens"))).first()[0]
+        assert abs(got[key].mixed_tokens - got[key].target_tokens) < 3 * (got[key].rate * sizes) ** 0.5
     assert got[1, "tiny"].mixed_tokens == 5 * got[1, "tiny"].source_tokens and got[2, "guide"].mixed_tokens == 0
     rows = mix.rows().collect()
     assert sum(r.n_tokens for r in rows if r.mix_id == 1) == sum(r.mixed_tokens for k, r in got.items() if k[0] == 1)
