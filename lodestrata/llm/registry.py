@@ -127,6 +127,11 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "reading_labels"))
 
 
+def p8_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residual of every harmonic iteration."""
+    return reading.convergence(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "reading_labels"))
+
+
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each level and their mean level, by source and repository."""
     documents = read(spark, sf_dir, "documents")
@@ -157,6 +162,7 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
+    "p8_convergence": p8_convergence,
     "p8_profile": p8_profile,
 }
 

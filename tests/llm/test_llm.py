@@ -583,6 +583,21 @@ def test_p8_awkward_rows(spark):
 # ------------------------------------------------------- all of them
 
 
+@pytest.mark.parametrize("text", ["Это простое предложение о том, как работает сервер и что он делает с каждым запросом.", "这 是 一 个 关于 服务器 的 段落 它 说明 了 请求", "Der Server nimmt die Anfrage an und gibt das Ergebnis zurück, wenn es fertig ist."])
+def test_p8_other_languages_and_scripts_are_not_english(spark, text):
+    docs = documents(spark, ("guide", text), ("guide", "The server takes the request and gives the answer back as soon as it is ready."))
+    got = {r.doc_id: r.is_english for r in reading.graph(docs, spark.createDataFrame([], "doc_id long, rater string, level int")).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_p8_grades_stay_clamped_and_the_residual_is_reached(spark, sf):
+    docs, labels, out = levels(spark, sf)
+    graded = out.where("grade is not null and score is not null").collect()
+    assert graded and all(r.reading_level == r.grade for r in graded)
+    steps = [r.residual for r in reading.convergence(docs, labels).orderBy("iteration").collect()]
+    assert steps[-1] <= reading.TOLERANCE < min(steps[:-1]) and len(steps) < reading.MOST_ITERATIONS
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p7_found", "p8_found"])
 def test_found_has_exactly_its_columns(spark, sf, name):
     want = {
