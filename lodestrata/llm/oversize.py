@@ -16,8 +16,9 @@ Defined results:
 - Several limits for one kind: the smallest ``max_chars`` and its largest ``overlap_lines``.
 - ``start_line`` null: counted from 1.
 - A repeated chunk row is split again under its own id.
-- Overlap lines that together take over half of the limit are left out, oldest first; a last line that is itself too
-  long lends its final eighth of a limit. So a piece never exceeds the limit and always moves on.
+- Overlap lines are left out, oldest first, only where they would leave less than an eighth of the limit for what is new; a
+  last line that is itself too long lends its final eighth of a limit. ``short_overlap`` marks such pieces. So a piece never
+  exceeds the limit and always moves on.
 - Joining the pieces' bodies (``content`` without its first ``overlap_chars`` characters) gives the chunk's content.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 PIECES = (
     "chunk_id long, piece_no int, symbol_kind string, start_line int, body_line int, end_line int, "
-    "boundary string, overlap_chars int, content string"
+    "boundary string, overlap_chars int, short_overlap boolean, content string"
 )
 
 LEVELS = ("section", "paragraph", "line", "sentence", "word", "character")
@@ -82,7 +83,7 @@ def cut_text(text: str, limit: int, overlap_lines: int) -> list[tuple[int, int,
 
 def _overlap(text: str, start: int, end: int, limit: int, lines: int) -> int:
     """Where the overlap that follows a piece text[start:end] begins."""
-    room, at = limit // 2, end
+    room, at = limit - max(1, limit // 8), end
     for k in range(lines):
         line = text.rfind("\n", start, at - 1) + 1 if at > start else start
         line = max(line, start)
@@ -94,17 +95,26 @@ def _overlap(text: str, start: int, end: int, limit: int, lines: int) -> int:
     return at
 
 
+def _short(text: str, previous: int, start: int, body: int, lines: int) -> bool:
+    """Whether text[start:body] lacks some of the last so many lines of text[previous:body]."""
+    at = body
+    for _ in range(lines):
+        at = max(text.rfind("\n", previous, max(at - 1, previous)) + 1, previous) if at > previous else previous
+    return start > at
+
+
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in PIECES.split(", ")]
     for batch in batches:
         out = []
         for i, kind, first, text, limit, lines in zip(batch.chunk_id, batch.symbol_kind, batch.first_line, batch.content, batch.max_chars, batch.overlap_lines, strict=True):
-            seen, at = 0, 0  # line ends up to the last body start
+            seen, at, previous = 0, 0, 0  # line ends up to the last body start, and where the piece before began
             for n, (start, body, end, boundary) in enumerate(cut_text(text, int(limit), int(lines)), 1):
                 seen, at = seen + text.count("\n", at, body), body
                 top = first + seen - text.count("\n", start, body)
                 last = first + seen + text.count("\n", body, end) - (text[end - 1] == "\n")
-                out.append((i, n, kind, top, first + seen, max(last, top), boundary, body - start, text[start:end]))
+                out.append((i, n, kind, top, first + seen, max(last, top), boundary, body - start, n > 1 and _short(text, previous, start, body, int(lines)), text[start:end]))
+                previous = start
         yield pd.DataFrame(out, columns=names)
 
 

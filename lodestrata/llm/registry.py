@@ -65,6 +65,13 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversize.split_oversized(spread(read(spark, sf_dir, "chunks")), read(spark, sf_dir, "chunk_limits"))
 
 
+def p4_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of every oversized chunk put together again from the bodies of its pieces."""
+    body = F.expr("substring(content, overlap_chars + 1, length(content))")
+    pieces = p4_pieces(spark, sf_dir).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", body.alias("body")))).alias("pieces"))
+    return pieces.select("chunk_id", F.md5(F.array_join("pieces.body", "")).alias("content_hash"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files that were not written by hand in their repository."""
     return origin.found(spread(read(spark, sf_dir, "files")), read(spark, sf_dir, "upstream_files"))
@@ -151,6 +158,7 @@ QUERIES = {
     "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_joined": p4_joined,
     "p5_found": p5_found,
     "p5_origins": p5_origins,
     "p5_evidence": p5_evidence,
@@ -171,4 +179,8 @@ ORACLE_SQL = {
         SELECT c.id AS chunk_id FROM chunks c JOIN chunk_limits l ON c.symbol_kind = l.symbol_kind
         WHERE length(c.content) > l.max_chars
     """,
+    "p4_joined": """
+        SELECT c.id AS chunk_id, md5(c.content) AS content_hash FROM chunks c JOIN chunk_limits l ON c.symbol_kind = l.symbol_kind
+        WHERE length(c.content) > l.max_chars
+    """,
 }

@@ -350,6 +350,31 @@ def test_p4_pieces_join_to_the_text(text, limit, overlap):
     assert all(e - s <= limit and s <= b <= e for s, b, e, _ in pieces)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", max_size=12), min_size=5, max_size=40), st.integers(40, 90), st.integers(0, 4))
+def test_p4_pieces_begin_with_the_last_lines_of_the_piece_before(lines, limit, overlap):
+    text = "\n".join(lines)
+    pieces = oversize.cut_text(text, limit, overlap)
+    for (s, _, e, _), (start, body, _, _) in zip(pieces, pieces[1:], strict=False):
+        kept = text[s:e].splitlines(keepends=True)[-overlap:] if overlap else []
+        wanted = "".join(kept)
+        if len(wanted) <= limit - limit // 8:
+            assert text[start:body] == wanted and not oversize._short(text, s, start, body, overlap)
+        else:
+            assert oversize._short(text, s, start, body, overlap) and wanted.endswith(text[start:body])
+
+
+def test_p4_overlap_on_the_given_chunks(spark, sf):
+    limits = {r.symbol_kind: r for r in registry.read(spark, sf, "chunk_limits").collect()}
+    got = registry.QUERIES["p4_pieces"](spark, sf.replace("sf0.001", "sf0.01")).orderBy("chunk_id", "piece_no").collect()
+    follow = [(a, b) for a, b in zip(got, got[1:], strict=False) if a.chunk_id == b.chunk_id]
+    for a, b in follow:
+        most, lines = limits[b.symbol_kind].max_chars, limits[b.symbol_kind].overlap_lines
+        wanted = "".join(a.content.splitlines(keepends=True)[-lines:]) if lines else ""
+        assert b.short_overlap == (len(wanted) > most - most // 8) and (b.short_overlap or b.content[: b.overlap_chars] == wanted)
+    assert len(follow) > 20
+
+
 def test_p4_natural_places_lines_and_overlap(spark):
     text = "\n".join(f"def f{i}():\n    return {i}\n" for i in range(8))
     limits = spark.createDataFrame([("function", 60, 1), ("function", 70, 0), ("method", None, None)], "symbol_kind string, max_chars int, overlap_lines int")
@@ -610,13 +635,14 @@ def test_found_has_exactly_its_columns(spark, sf, name):
     assert got.count() == got.distinct().count() and (name == "p8_found" or got.count() > 0)
 
 
-def test_p4_matches_sql(spark, sf):
+@pytest.mark.parametrize("name", ["p4_found", "p4_joined"])
+def test_p4_matches_sql(spark, sf, name):
     import duckdb
 
     c = duckdb.connect()
     for t in ("chunks", "chunk_limits"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    assert sorted(r.chunk_id for r in registry.QUERIES["p4_found"](spark, sf).collect()) == sorted(x for (x,) in c.execute(registry.ORACLE_SQL["p4_found"]).fetchall())
+    assert sorted(map(tuple, registry.QUERIES[name](spark, sf).collect())) == sorted(c.execute(registry.ORACLE_SQL[name]).fetchall())
 
 
 def test_nothing_else_imports_this_package():
