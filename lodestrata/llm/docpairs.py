@@ -5,15 +5,18 @@ Three steps:
 1. :func:`symbols` reads every function, method and class chunk once and emits a
    symbol table across files: qualified name, normalised signature, place, code
    and the chunk's own documentation, a docstring or the comment directly above.
-2. :func:`separate_docs` makes the table of documentation that stands apart from
-   its definition: a comment that ends a "module" chunk on the line before the
+2. :func:`offers` makes the table of documentation that stands apart from its
+   definition: a comment that ends a "module" chunk on the line before the
    definition, and documented declarations without a body (overload signatures,
    stubs, declaration files). Plain column predicates find the few chunks that
-   can hold such, so only those are read again.
+   can hold such, so only those are read again, once.
 3. :func:`pair` joins definitions without documentation of their own to that
-   table, by place or by qualified name; among overloads the one with the same
-   normalised signature wins, then the one of as many parameters. Only then are
-   pairs with empty or trivial documentation dropped.
+   table, by place or by qualified name: first among the declarations of the
+   definition's own module (with its stub or declaration file), the one of the
+   same normalised signature, else of as many parameters, else any; then among
+   the declarations of all other files of the repository at that commit, of the
+   same signature, else of as many parameters, if they agree on one text. Only
+   then are pairs with empty or trivial documentation dropped.
 
 The code text never takes part in a shuffle of :func:`pair` unless it is asked
 for. Definitions that need no join carry a key of their own, so they spread
@@ -25,7 +28,8 @@ Defined results:
 - null or empty content, or a kind other than function, method, class and module: nothing.
 - null path: the language column decides; neither known: nothing. Null repo_id, sha or start_line: no join, own documentation only.
 - A repeated chunk row gives its pairs again under its own id; one name twice in a chunk gives one row in :func:`found`.
-- Several module comments or declarations for one key: the alphabetically first text.
+- Several module comments or declarations of one module for one key: the alphabetically first text. Declarations in other
+  files that say different things for one key: none of them.
 - Functions inside functions and the documentation of classes are left out.
 """
 
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import language_of
+from lodestrata.llm.common import cut, language_of, small
 
 SYMBOLS = (
     "chunk_id long, repo_id long, sha string, path string, module string, qualified string, symbol_name string, "
@@ -145,8 +149,7 @@ def documentation(text: str | None, name: str) -> str | None:
         said.update(w for w in words if not (w.isascii() and len(w) < 2) and w not in _STOP and not _restates(w, names))
         if words:
             kept.append(line)
-    informative = sum(2 if not w.isascii() and len(w) >= 4 else 1 for w in said)
-    return "\n".join(kept) if informative >= 2 else None
+    return "\n".join(kept) if said else None
 
 
 def _masked(text: str, token: re.Pattern) -> tuple[str, list[tuple[int, int]]]:
@@ -350,31 +353,34 @@ def symbols(chunks: DataFrame) -> DataFrame:
     return _prepared(chunks).where(F.col("symbol_kind").isin("function", "method", "class")).mapInPandas(_symbols, SYMBOLS)
 
 
-def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch["doc"] = [trailing_comment(t, lang) for t, lang in zip(batch.content, batch.lang, strict=True)]
-        yield batch.loc[batch.doc.notna(), ["repo_id", "sha", "path", "line", "doc"]]
+OFFERS = "repo_id long, sha string, path string, line int, module string, qualified string, signature string, arity int, doc string"
 
 
-def separate_docs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documentation apart from its definition: module comments by place, declarations by qualified name. One row a key."""
+def _offers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in OFFERS.split(", ")]
+    for batch in batches:
+        out = []
+        comments = batch.symbol_kind == "module"
+        for r in batch[comments].itertuples(index=False):
+            if doc := trailing_comment(r.content, r.lang):
+                out.append((r.repo_id, r.sha, r.path, None if pd.isna(r.end_line) else int(r.end_line) + 1, None, None, None, None, doc))
+        for found in _symbols(iter([batch[~comments]])):
+            for r in found[~found.has_body & found.doc.notna()].itertuples(index=False):
+                out.append((r.repo_id, r.sha, r.path, None, r.module, r.qualified, r.signature, r.arity, r.doc))
+        yield pd.DataFrame(out, columns=names).astype({"repo_id": "Int64", "line": "Int32", "arity": "Int32"})
+
+
+def offers(chunks: DataFrame) -> DataFrame:
+    """Documentation apart from its definition (columns as in :data:`OFFERS`): module comments with the line they stand above, declarations with their names."""
     rows = _prepared(chunks)
     last = F.trim(F.element_at(F.split(F.regexp_replace("content", r"\r?\n?$", ""), "\n"), -1))
-    comments = rows.where((F.col("symbol_kind") == "module") & (last.startswith("#") | last.startswith("//") | last.endswith("*/") | last.endswith("*/\r")))
-    comments = (
-        comments.select("repo_id", "sha", "path", (F.col("end_line") + 1).alias("line"), "lang", "content")
-        .mapInPandas(_tails, "repo_id long, sha string, path string, line int, doc string")
-        .groupBy("repo_id", "sha", "path", "line").agg(F.min("doc").alias("above_doc"))
-    )
+    comment = (F.col("symbol_kind") == "module") & (last.startswith("#") | last.startswith("//") | last.endswith("*/") | last.endswith("*/\r"))
     bodiless = (
         F.col("content").contains("overload") | F.lower("path").rlike(r"\.(d\.ts|pyi)$")
         | F.col("content").rlike(r"(?m)^[ \t]*(export[ \t]+)?(declare[ \t]+)?(async[ \t]+)?function[ \t]+\w+[^{}]*\)[ \t]*(:[^{};=]+)?;")
         | F.col("content").rlike(r"(?m)^[ \t]+(abstract[ \t]+)?\w+\([^(){}]*\)[ \t]*:[^{};=()]+;[ \t\r]*$")
     )
-    stubs = rows.where(F.col("symbol_kind").isin("function", "method", "class") & bodiless).mapInPandas(_symbols, SYMBOLS).where("not has_body and doc is not null")
-    declared = stubs.groupBy("repo_id", "sha", "module", "qualified", "signature", "arity").agg(F.min("doc").alias("doc"))
-    declared = declared.groupBy("repo_id", "sha", "module", "qualified").agg(F.sort_array(F.collect_set(F.struct("signature", "arity", "doc"))).alias("declared"))
-    return comments, declared
+    return rows.where(comment | (F.col("symbol_kind").isin("function", "method", "class") & bodiless)).mapInPandas(_offers, OFFERS)
 
 
 @F.pandas_udf(T.StringType())
@@ -387,17 +393,21 @@ def pair(chunks: DataFrame, with_code: bool = True) -> DataFrame:
     table = symbols(chunks).where("has_body")
     if not with_code:
         table = table.drop("code")
-    comments, declared = separate_docs(chunks)
+    apart = cut(offers(chunks))
+    place, own_file, any_file = ["repo_id", "sha", "path", "line"], ["repo_id", "sha", "module", "name_key"], ["repo_id", "sha", "name_key"]
+    comments = small(apart.where("line is not null").groupBy(*place).agg(F.min("doc").alias("above_doc")))
+    declared = apart.where("qualified is not null").withColumnRenamed("qualified", "name_key")
     own = -1 - F.pmod(F.hash("chunk_id", "qualified"), F.lit(2**31 - 2))  # a key without a partner for those that need none
     table = table.withColumn("line", F.when(F.col("doc").isNull(), F.col("top_line"))).withColumn("line", F.coalesce("line", own))
-    near = table.join(comments, ["repo_id", "sha", "path", "line"], "left")
+    near = table.join(comments, place, "left")
     near = near.withColumn("above_doc", _documentation("above_doc", "symbol_name")).withColumn("origin", F.when(F.col("doc").isNotNull(), F.col("origin")).when(F.col("above_doc").isNotNull(), "module comment"))
     near = near.withColumn("doc", F.coalesce("doc", "above_doc"))
-    near = near.withColumn("name_key", F.when(F.col("doc").isNull(), F.col("qualified")).otherwise(F.concat(F.lit("\0"), own.cast("string"))))
-    far = near.join(declared.withColumnRenamed("qualified", "name_key"), ["repo_id", "sha", "module", "name_key"], "left")
-    same = F.filter("declared", lambda d: d["signature"] == F.col("signature"))
-    alike = F.filter("declared", lambda d: d["arity"] == F.col("arity"))
-    chosen = F.coalesce(F.get(same, 0)["doc"], F.get(alike, 0)["doc"], F.get(F.col("declared"), 0)["doc"])
+    far = near.withColumn("name_key", F.when(F.col("doc").isNull(), F.col("qualified")).otherwise(F.concat(F.lit("\0"), own.cast("string"))))
+    agreed = F.when(F.min("doc") == F.max("doc"), F.min("doc"))
+    levels = [([*own_file, "signature"], F.min("doc")), ([*own_file, "arity"], F.min("doc")), (own_file, F.min("doc")), ([*any_file, "signature"], agreed), ([*any_file, "arity"], agreed)]
+    for k, (key, doc) in enumerate(levels):
+        far = far.join(small(declared.groupBy(*key).agg(doc.alias(f"declared{k}"))), key, "left")
+    chosen = F.coalesce(*[f"declared{k}" for k in range(len(levels))])
     out = far.withColumn("origin", F.coalesce("origin", F.when(chosen.isNotNull(), "declaration"))).withColumn("doc", F.coalesce("doc", chosen))
     keep = ["chunk_id", "symbol_name", "qualified", "signature", "doc", "origin", *(["code"] if with_code else [])]
     return out.where("doc is not null").select(*keep)

@@ -79,6 +79,24 @@ def test_p1_module_comment_and_declarations(spark):
     assert "list" in got[6, "f"].doc
 
 
+def test_p1_declarations_of_other_files(spark):
+    got = pairs(
+        spark,
+        chunk(1, "/** Reads every entry of the table once. */\nexport declare function scan(x: string): number;\n", path="types/index.d.ts"),
+        chunk(2, "/** Reads entries by their numbers. */\nexport declare function scan(x: number): number;\n", path="types/index.d.ts"),
+        chunk(3, "export function scan(x: number) {\n  return x;\n}\n", path="src/scan.ts"),
+        chunk(4, "def keep(a, b):\n    return a\n", path="pkg/core.py"),
+        chunk(5, "def keep(a, b):\n    \"\"\"Holds on to the first of two.\"\"\"\n    ...\n", path="pkg/core.pyi"),
+        chunk(6, "@overload\ndef pick(a: int):\n    \"\"\"Takes one by its place.\"\"\"\n    ...\n", path="a/x.py"),
+        chunk(7, "@overload\ndef pick(a: int):\n    \"\"\"Draws one at random.\"\"\"\n    ...\n", path="b/y.py"),
+        chunk(8, "def pick(a: int):\n    return a\n", path="c/z.py"),
+        chunk(9, "export function scan(x: number) {\n  return x;\n}\n", path="src/other.ts", sha="t"),
+        chunk(10, "def calm():\n    \"\"\"Idempotent.\"\"\"\n    return 1\n"), chunk(11, "def halt():\n    \"\"\"Blocks.\"\"\"\n    return 1\n"),
+    )
+    assert {k: (r.origin, r.doc) for k, r in got.items() if r.origin == "declaration"} == {(3, "scan"): ("declaration", "Reads entries by their numbers.")}
+    assert {(10, "calm"), (11, "halt")} <= set(got) and not {(8, "pick"), (9, "scan")} & set(got)  # texts that disagree, another commit
+
+
 def test_p1_awkward_rows(spark):
     rows = [chunk(1, None), chunk(2, ""), chunk(3, "def a():\n    '''Says something useful here.'''", path=None), chunk(3, "def a():\n    '''Says something useful here.'''", path=None), chunk(4, "x", kind=None), chunk(5, "def broken(:\n  '''", path="b.py")]
     table = spark.createDataFrame(rows, CHUNKS).withColumn("doc", F.lit("clash")).withColumn("line", F.lit(1))
