@@ -1,4 +1,4 @@
-"""Blockwise exact nearest neighbours."""
+"""Exact nearest neighbours of a stated set of queries."""
 
 from __future__ import annotations
 
@@ -10,36 +10,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries per block; a task holds one block of queries and one Arrow batch of vectors at a time.
-BLOCK = 512
+#: Bytes of query vectors that go to the tasks at once; more queries are taken in slices of this size.
+SLICE_BYTES = 64 << 20
 
 
-def block_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance, rank) by cosine, ties by id; null vectors and vectors of zero length never match."""
-    numbered = queries.where("query is not null").select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("int").alias("block"))
-    packed = numbered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "query"))).alias("queries"))
-    packed = packed.select(F.explode(F.expr(f"transform(sequence(0, cast((size(queries) - 1) div {BLOCK} as int)), i -> slice(queries, i * {BLOCK} + 1, {BLOCK}))")).alias("queries"))
+def block_knn(vectors: DataFrame, queries: DataFrame, k: int, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(query_id, id, distance, rank) by cosine, ties by id; null vectors and vectors of zero length never match.
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for ids, rows, asked in zip(batch.ids, batch.rows_, batch.queries, strict=True):
-                m = np.array([np.asarray(r, float) for r in rows])
-                q = np.array([np.asarray(x["query"], float) for x in asked])
-                norms = np.linalg.norm(m, axis=1)
-                ok = norms > 0
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = np.round(1 - (q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * norms), 6)
-                ids = np.asarray(ids)
-                for x, row in zip(asked, d, strict=True):
-                    good = ok & ~np.isnan(row)
-                    order = np.lexsort((ids[good], row[good]))[:k]
-                    out.extend((x["query_id"], i, v) for i, v in zip(ids[good][order], row[good][order], strict=True))
-            yield pd.DataFrame(out, columns=["query_id", "id", "distance"])
-
-    # vectors in groups of a bounded number of rows, each group against each block of the stated queries
-    groups = vectors.where("embedding is not null").select("id", "embedding", F.spark_partition_id().alias("p"), F.floor(F.monotonically_increasing_id() % (1 << 33) / 4096).alias("g"))
-    groups = groups.groupBy("p", "g").agg(F.collect_list(F.struct("id", "embedding")).alias("v")).select(F.col("v.id").alias("ids"), F.col("v.embedding").alias("rows_"))
-    local = groups.crossJoin(packed).mapInPandas(near, "query_id long, id long, distance double")
+    The queries' size is measured first and cut into slices of a bounded number of bytes. A slice is a broadcast matrix;
+    each task reads its vectors once, batch by batch, keeps the k best of every query, and only those are shuffled.
+    """
+    asked = queries.where("query is not null")
+    size = asked.agg(F.sum(F.size("query") * 8 + 8)).first()[0] or 0
+    slices = max(1, -(-size // slice_bytes))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+    local = None
+    for n in range(slices):
+        part = _local(vectors, asked.where(of == n) if slices > 1 else asked, k)
+        local = part if local is None else local.unionByName(part)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _local(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best of each query within each task."""
+    rows = asked.select("query_id", "query").toPandas()
+    by_size = {}
+    for n, group in rows.groupby(rows["query"].map(len)) if len(rows) else ():
+        q = np.array(group["query"].to_list(), float)
+        norm = np.linalg.norm(q, axis=1)
+        by_size[n] = (group["query_id"].to_numpy()[norm > 0], q[norm > 0] / norm[norm > 0].reshape(-1, 1))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_size)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict = {}  # of each size of vector: the nearest ids and their distances, a row a query
+        for batch in batches:
+            sizes = batch.embedding.map(len)
+            for n, (ids, q) in shared.value.items():
+                some = batch[sizes == n]
+                if not len(ids) or not len(some):
+                    continue
+                m = np.array(some.embedding.to_list(), float)
+                norm = np.linalg.norm(m, axis=1)
+                good = norm > 0
+                d = np.round(1 - q @ (m[good] / norm[good].reshape(-1, 1)).T, 6)
+                found = np.broadcast_to(some.id.to_numpy()[good], d.shape)
+                if n in best:
+                    found, d = np.hstack([best[n][0], found]), np.hstack([best[n][1], d])
+                order = np.lexsort((found, d), axis=1)[:, :k]
+                best[n] = np.take_along_axis(found, order, 1), np.take_along_axis(d, order, 1)
+        for n, (found, d) in best.items():
+            ids = shared.value[n][0]
+            keep = ~np.isnan(d.ravel())
+            yield pd.DataFrame({"query_id": np.repeat(ids, d.shape[1])[keep], "id": found.ravel()[keep], "distance": d.ravel()[keep]})
+
+    return vectors.where("embedding is not null").select("id", "embedding").mapInPandas(near, "query_id long, id long, distance double")

@@ -57,15 +57,16 @@ def language(path: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """array<struct<path, first, last>> of the path:line and path:first-last references in a text, in order."""
+    """array<struct<path, first, last, ref>> of the path:line and path:first-last references in a text, in order; ref is how it is written."""
     rx = F.lit(CITATION)
     parts = F.arrays_zip(
-        F.regexp_extract_all(text, rx, F.lit(1)).alias("path"), F.regexp_extract_all(text, rx, F.lit(2)).alias("first"), F.regexp_extract_all(text, rx, F.lit(3)).alias("last")
+        F.regexp_extract_all(text, rx, F.lit(1)).alias("path"), F.regexp_extract_all(text, rx, F.lit(2)).alias("first"), F.regexp_extract_all(text, rx, F.lit(3)).alias("last"),
+        F.regexp_extract_all(text, rx, F.lit(0)).alias("ref"),
     )
     return F.transform(
         parts,
         lambda c: F.struct(
-            c["path"].alias("path"), c["first"].try_cast("long").alias("first"), F.coalesce(F.when(c["last"] != "", c["last"]).try_cast("long"), c["first"].try_cast("long")).alias("last")
+            c["path"].alias("path"), c["first"].try_cast("long").alias("first"), F.coalesce(F.when(c["last"] != "", c["last"]).try_cast("long"), c["first"].try_cast("long")).alias("last"), c["ref"].alias("ref")
         ),
     )
 

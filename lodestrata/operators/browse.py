@@ -86,8 +86,19 @@ def outline(symbols: DataFrame) -> DataFrame:
 
 
 def tree(files: DataFrame) -> DataFrame:
-    """(repo_id, sha, parent, name, is_dir, n_files): every entry of every directory."""
+    """(repo_id, sha, parent, name, is_dir, n_files, position): every entry of every directory, directories first, then by name."""
     parts = F.split("path", "/")
     rows = files.select(*SCOPE, "path").distinct().select(*SCOPE, parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("d"))
     rows = rows.select(*SCOPE, F.array_join(F.slice("parts", 1, F.col("d") - 1), "/").alias("parent"), F.element_at("parts", F.col("d")).alias("name"), (F.col("d") < F.size("parts")).alias("is_dir"))
-    return rows.groupBy(*SCOPE, "parent", "name", "is_dir").agg(F.count("*").alias("n_files"))
+    entries = rows.groupBy(*SCOPE, "parent", "name", "is_dir").agg(F.count("*").alias("n_files"))
+    return entries.withColumn("position", F.row_number().over(Window.partitionBy(*SCOPE, "parent").orderBy(F.desc("is_dir"), "name")))
+
+
+def complete(repos: DataFrame, **tables: DataFrame) -> DataFrame:
+    """(repo_id, complete): whether every table has rows of a repository's last indexed commit."""
+    heads = repos.select(F.col("id").alias("repo_id"), F.col("last_indexed_sha").alias("sha"))
+    has = F.lit(True)
+    for name, rows in tables.items():
+        heads = heads.join(rows.select(*SCOPE).distinct().withColumn(name, F.lit(True)), list(SCOPE), "left")
+        has = has & F.coalesce(name, F.lit(False))
+    return heads.select("repo_id", has.alias("complete"))

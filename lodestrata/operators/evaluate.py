@@ -14,6 +14,13 @@ def recall(truth: Column, hits: Column) -> Column:
     return F.when(F.size(expected) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(expected, hits)) / F.nullif(F.size(expected), F.lit(0)))
 
 
+def searched(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """Questions (question_id, repo_id, truth) with ``hits``, the files of their hits (question_id, path), and ``missing``, those of truth that were not hit."""
+    files = hits.groupBy("question_id").agg(F.array_sort(F.collect_set("path")).alias("hits"))  # at most k a question
+    rows = questions.select("question_id", "repo_id", "truth").join(files, "question_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    return rows.withColumn("missing", F.array_sort(F.array_except("truth", "hits")))
+
+
 def report(questions: DataFrame) -> DataFrame:
     """(repo_id, n_questions, recall, files_seen) from rows (repo_id, truth, hits)."""
     rows = questions.select("repo_id", recall(F.col("truth"), F.col("hits")).alias("recall"), F.size(F.array_distinct("hits")).alias("seen"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +33,9 @@ def keep_path(path: Column) -> Column:
     return language(path).isNotNull() & ~dropped
 
 
-def keep_bytes(content: Column) -> Column:
+def keep_bytes(content: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
     """Whether binary content is small enough and text: no NUL in its first kibibyte."""
-    return (F.octet_length(content) <= MAX_FILE_BYTES) & ~F.contains(F.substring(content, 1, 1024), F.lit(b"\x00"))
+    return (F.octet_length(content) <= max_bytes) & ~F.contains(F.substring(content, 1, 1024), F.lit(b"\x00"))
 
 
 def is_doc(path: Column) -> Column:
@@ -45,9 +48,13 @@ def source_files(files: DataFrame) -> DataFrame:
 
 
 def doc_files(files: DataFrame) -> DataFrame:
-    """Documents of the tree that are not source files of it as well."""
-    docs = files.where(is_doc(F.col("path")))
-    return docs.join(source_files(files).select("repo_id", "sha", "path").distinct(), ["repo_id", "sha", "path"], "left_anti")
+    """Documents of the tree that are not source files of it as well; both are told by the path."""
+    return files.where(is_doc(F.col("path")) & ~F.coalesce(keep_path(F.col("path")), F.lit(False)))
+
+
+def not_ignored(files: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Files whose (repo_id, path) is not in a list of ignored paths."""
+    return files.join(ignored.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti")
 
 
 def priority(path: Column) -> tuple[Column, Column, Column, Column]:
@@ -60,26 +67,25 @@ def within_budget(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int =
     """(repo_id, sha, path, size, kept): files taken in order of priority while they fit.
 
     A file that does not fit is skipped and uses up nothing, so this is a fold
-    over each tree, not a running sum. The fold runs only over trees above a
-    limit, and over (priority, size) pairs, not contents; a tree within both
-    limits is kept by plain sums. The fold needs a tree's file list in one
-    row: paths of a single repository at one commit.
+    over each tree, not a running sum. Paths and sizes, not contents, are dealt
+    by tree and sorted; a task streams through its trees with two counters, so
+    no tree is held whole.
     """
     low, deep, long, path = priority(F.col("path"))
     rows = files.select("repo_id", "sha", "path", "size", low.alias("low"), deep.alias("deep"), long.alias("long"))
-    totals = rows.groupBy("repo_id", "sha").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    fits = (F.col("n") <= max_files) & (F.col("bytes") <= max_bytes)
-    small = rows.join(totals.where(fits).select("repo_id", "sha"), ["repo_id", "sha"]).select("repo_id", "sha", "path", "size", F.lit(True).alias("kept"))
-    over = rows.join(totals.where(~fits).select("repo_id", "sha"), ["repo_id", "sha"])
-    ordered = over.groupBy("repo_id", "sha").agg(F.sort_array(F.collect_list(F.struct("low", "deep", "long", "path", "size"))).alias("files"))
-    start = F.struct(F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<boolean>").alias("kept"))
-
-    def take(state, item):
-        ok = (state["files"] < max_files) & (state["bytes"] + item["size"] <= max_bytes)
-        return F.struct(
-            (state["files"] + ok.cast("long")).alias("files"), (state["bytes"] + F.when(ok, item["size"]).otherwise(0)).alias("bytes"), F.concat(state["kept"], F.array(ok)).alias("kept")
-        )
-
-    folded = ordered.select("repo_id", "sha", F.arrays_zip("files", F.aggregate("files", start, take, lambda s: s["kept"]).alias("kept")).alias("z"))
-    picked = folded.select("repo_id", "sha", F.explode("z").alias("z")).select("repo_id", "sha", "z.files.path", "z.files.size", "z.kept")
-    return small.unionByName(picked)
+    rows = rows.repartition("repo_id", "sha").sortWithinPartitions("repo_id", "sha", "low", "deep", "long", "path", "size")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, n, total = None, 0, 0
+        for batch in batches:
+            kept = []
+            for repo, sha, size in zip(batch.repo_id, batch.sha, batch["size"], strict=True):
+                if (repo, sha) != tree:
+                    tree, n, total = (repo, sha), 0, 0
+                fits = n < max_files and total + size <= max_bytes
+                kept.append(fits)
+                if fits:
+                    n, total = n + 1, total + size
+            yield batch.assign(kept=kept)
+
+    return rows.select("repo_id", "sha", "path", "size").mapInPandas(fold, "repo_id long, sha string, path string, size long, kept boolean")

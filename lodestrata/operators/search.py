@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,8 +98,7 @@ def nearest(vectors: DataFrame, query: Column, k: int | None = CANDIDATES) -> Da
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest vectors of every query row (query_id, query).
 
-    Queries are a stated set, spread over blocks: each vector row meets each query
-    once, and only (query, distance) pairs within the k best of a block are shuffled.
+    Queries are a stated set: each vector row meets each query once, and only the k best of a task are shuffled.
     """
     from lodestrata.functions.knn import block_knn
 
@@ -117,12 +118,72 @@ def ranked(hits: DataFrame, *order: Column) -> DataFrame:
 def hybrid(texts: DataFrame, vectors: DataFrame, terms: list[str], query: Column, k: int = 10, candidates: int = CANDIDATES) -> DataFrame:
     """(id, score, text): lexical and vector candidates fused by reciprocal rank, best first.
 
-    Without any vector the lexical half takes texts with any term instead of every term.
+    Without any vector the lexical half takes texts with any term instead of every term. Distances come before the check
+    that a vector belongs to a text, so ids and not vectors are shuffled. The candidates, which their number bounds, are
+    read where the query is put together: so either list is made once, and the last scan asks for k ids only.
+    """
+    spark = texts.sparkSession
+    near = nearest(vectors, query, None).join(texts.select("id"), "id", "left_semi").orderBy("distance", "id").limit(candidates)
+    near = [r.id for r in near.collect()]
+    lex = [r.id for r in lexical(texts, terms, every=bool(near), k=candidates).collect()]
+    lists = [(i, n) for ids in (near, lex) for n, i in enumerate(ids, 1)]
+    best = rrf(spark.createDataFrame(lists, "id long, rank int")).orderBy(F.desc("score"), "id").limit(k).collect()
+    rows = texts.where(F.col("id").isin([r.id for r in best])).join(F.broadcast(spark.createDataFrame(best, "id long, score double")), "id")
+    return rows.select("id", "score", "text").orderBy(F.desc("score"), "id")
+
+
+def search_code(chunks: DataFrame, vectors: DataFrame, terms: list[str], query: Column, k: int = 10, repo_id: int | None = None, sha: str | None = None, repos: DataFrame | None = None) -> DataFrame:
+    """(position, path, score, text): the best chunks of one tree, or of all last indexed commits of ``repos``, as an agent reads them."""
+    scoped = latest(chunks, repos) if repo_id is None else chunks.where((F.col("repo_id") == repo_id) & (F.col("sha") == sha))
+    best = hybrid(scoped.select("id", F.col("content").alias("text")), vectors, terms, query, min(k, 10))
+    place = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    shown = F.concat(place, F.lit(" ("), F.coalesce("symbol_name", F.lit("module")), F.lit(")\n"), "content")
+    rows = scoped.join(F.broadcast(best.select("id", "score")), "id")
+    position = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # k rows
+    return rows.select("id", "path", "score", shown.alias("text")).select(position.alias("position"), "path", "score", "text")
+
+
+def parse_query(query: str) -> list[list[tuple[str, list[str]]]]:
+    """Alternatives, each a list of (kind, words) that must all hold: ``word``, ``"a phrase"`` and ``-word``; ``or`` parts alternatives."""
+    out: list[list[tuple[str, list[str]]]] = [[]]
+    for minus, quoted, bare in re.findall(r'(-?)"([^"]*)"?|(\S+)', query):
+        if bare.lower() == "or" and not quoted:
+            out.append([])
+            continue
+        if bare.startswith("-"):
+            minus, bare = "-", bare[1:]
+        found = re.findall(r"\w+", (quoted or bare).lower())
+        if found:
+            out[-1].append(("not" if minus else "all", found))
+    return [alternative for alternative in out if alternative]
+
+
+def web(texts: DataFrame, query: str, k: int | None = CANDIDATES) -> DataFrame:
+    """(id, score) of the texts that a query of :func:`parse_query` matches, scored by its words that must hold, best first."""
+    alternatives = parse_query(query)
+    wanted = list(dict.fromkeys(w for a in alternatives for kind, words_ in a if kind == "all" for w in words_))
+    if not wanted:
+        return texts.select("id", F.lit(0.0).alias("score")).limit(0)
+    joined = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+
+    def holds(kind: str, found: list[str]) -> Column:
+        has = F.array_contains("tokens", found[0]) if len(found) == 1 else joined.contains(" " + " ".join(found) + " ")
+        return ~has if kind == "not" else has
+
+    likely = _any([_all([F.lower("text").contains(w) for kind, found in a if kind == "all" for w in found] or [F.lit(True)]) for a in alternatives])
+    rows = texts.where(likely).select("id", words(F.col("text")).alias("tokens")).where(_any([_all([holds(*item) for item in a]) for a in alternatives]))
+    rows = rows.select("id", tf_score(F.col("tokens"), wanted).alias("score"))
+    return rows if k is None else rows.orderBy(F.desc("score"), "id").limit(k)
+
+
+def batch(texts: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+    """(question_id, id, path, score, rank): the k best texts (repo_id, id, path, text) of each question (question_id, repo_id, terms) of its repository.
+
+    All questions are searched in one join of words: a text's words are counted before the join, and only words asked for take part.
     """
-    near = ranked(nearest(vectors.join(texts.select("id"), "id", "left_semi"), query, candidates), F.col("distance"), F.col("id"))
-    has_vectors = near.limit(1).agg((F.count("*") > 0).alias("has_vectors"))
-    # one row decides which of the matches count
-    chosen = _scored(texts, terms, every=False).crossJoin(F.broadcast(has_vectors)).where("strict or not has_vectors").select("id", "score")
-    lex = ranked(chosen.orderBy(F.desc("score"), "id").limit(candidates), F.desc("score"), F.col("id"))
-    best = rrf(near.unionByName(lex)).orderBy(F.desc("score"), "id").limit(k)
-    return texts.join(F.broadcast(best), "id").select("id", "score", "text").orderBy(F.desc("score"), "id")
+    asked = questions.select("question_id", "repo_id", F.array_distinct("terms").alias("terms")).select("question_id", "repo_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
+    posted = texts.select("repo_id", "id", "path", F.explode(words(F.col("text"))).alias("word")).join(asked.select("repo_id", "word").distinct(), ["repo_id", "word"], "left_semi")
+    posted = posted.groupBy("repo_id", "id", "path", "word").agg(F.count("*").alias("tf"))
+    hits = posted.join(asked, ["repo_id", "word"]).groupBy("question_id", "n_terms", "id", "path").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1)), 9).alias("score"), F.count("*").alias("held")).where("held = n_terms")
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "id", "path", "score", "rank")

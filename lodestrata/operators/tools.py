@@ -80,24 +80,36 @@ def grep(files: DataFrame, pattern: str, path: str = "", cap: int = MAX_MATCHES)
     """(repo_id, sha, path, line_no, line, total): matching lines of each tree, the first ``cap`` by path and line, with how many there are.
 
     ``path`` is a file or a directory. Texts without the pattern's literal part are dropped before they are cut into lines.
-    The cap is applied per tree with a bounded array per task first, so that no task sorts all matches of a hot tree.
+    One pass counts the matches of each file and keeps its first ``cap``; of each tree only files that can reach the first
+    ``cap`` are then unfolded.
     """
     rows = files
     if p := path.strip("/"):
         rows = rows.where((F.col("path") == p) | F.col("path").startswith(p + "/"))
     if literal := required_literal(pattern):
         rows = rows.where(F.col("content").contains(literal))
-    found = file_lines(rows).where(F.col("line").rlike("(?U)" + pattern.replace("(?P<", "(?<")))
-    total = found.groupBy(*SCOPE).agg(F.count("*").alias("total"))
-    w = Window.partitionBy(*SCOPE).orderBy("path", "line_no", "line")
-    first = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).drop("n")  # the rank limit is pushed below the shuffle
-    return first.join(total, list(SCOPE))
+    numbered = F.transform(lines(F.col("content")), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
+    matched = F.filter(numbered, lambda m: m["line"].rlike("(?U)" + pattern.replace("(?P<", "(?<")))
+    found = rows.select(*SCOPE, "path", matched.alias("m")).select(*SCOPE, "path", F.size("m").alias("n"), F.slice("m", 1, cap).alias("first")).where("n > 0")
+    tree = Window.partitionBy(*SCOPE)
+    before = F.sum("n").over(tree.orderBy("path")) - F.sum("n").over(Window.partitionBy(*SCOPE, "path"))  # matches in files of lesser path
+    found = found.withColumn("total", F.sum("n").over(tree)).withColumn("before", before).where(F.col("before") < cap)
+    found = found.select(*SCOPE, "path", "total", F.explode("first").alias("m")).select(*SCOPE, "path", "m.line_no", "m.line", "total")
+    return found.withColumn("n", F.row_number().over(tree.orderBy("path", "line_no", "line"))).where(F.col("n") <= cap).drop("n")
+
+
+def lookup(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """The file of each key (repo_id, sha, path) that there is; of several loads the first by id."""
+    rows = files.join(keys.select(*SCOPE, "path").distinct(), [*SCOPE, "path"], "left_semi")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*SCOPE, "path").orderBy("id"))).where("n = 1").drop("n")
 
 
 def first_symbols(symbols: DataFrame, cap: int = MAX_ROWS) -> DataFrame:
     """(repo_id, sha, name, n, places): every symbol name of a tree with how often it is defined and its first places."""
-    place = F.struct("path", "line", "kind")
-    return symbols.groupBy(*SCOPE, "name").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(place)), 1, cap).alias("places"))
+    name = Window.partitionBy(*SCOPE, "name")
+    places = symbols.groupBy(*SCOPE, "name", "path", "line", "kind").agg(F.count("*").alias("loads"))
+    ranked = places.withColumn("n", F.sum("loads").over(name)).withColumn("k", F.row_number().over(name.orderBy("path", "line", "kind"))).where(F.col("k") <= cap)
+    return ranked.groupBy(*SCOPE, "name", "n").agg(F.array_sort(F.collect_list(F.struct("path", "line", "kind"))).alias("places"))
 
 
 def find_symbol(symbols: DataFrame, name: str, cap: int = MAX_ROWS) -> DataFrame:

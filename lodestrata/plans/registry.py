@@ -89,13 +89,12 @@ def source_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT id, path FROM files f WHERE instr(path, '/') = 0
-    AND lower(path) IN ('readme.md', 'readme.rst', 'readme.txt', 'pyproject.toml', 'package.json', 'setup.py', 'setup.cfg', 'cargo.toml', 'go.mod', 'dockerfile', 'makefile')
-    AND NOT EXISTS (SELECT 1 FROM files s WHERE s.repo_id = f.repo_id AND s.sha = f.sha AND s.path = f.path AND {_KEEP.replace("path", "s.path")})"""
+    f"""SELECT id, path FROM (SELECT id, string_split(path, '/')[-1] AS path FROM files)
+    WHERE lower(path) IN ('readme.md', 'readme.rst', 'readme.txt', 'pyproject.toml', 'package.json', 'setup.py', 'setup.cfg', 'cargo.toml', 'go.mod', 'dockerfile', 'makefile') AND NOT ({_KEEP})"""
 )
 def doc_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Documents at the root of a tree."""
-    return filters.doc_files(table(spark, d, "files")).select("id", "path")
+    """Documents that would stand at the root of a tree, were every directory one of its own."""
+    return filters.doc_files(table(spark, d, "files").withColumn("path", tx.basename(F.col("path")))).select("id", "path")
 
 
 @query(
@@ -107,10 +106,20 @@ def lang_detect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").select("id", "path", tx.language(F.col("path")).alias("language"))
 
 
-@query("SELECT id, path FROM files WHERE octet_length(encode(content)) <= 1048576 AND NOT contains(content[:1024], chr(0))")
+@query("SELECT id, path FROM files WHERE octet_length(encode(content)) <= 4096 AND NOT contains(content[:1024], chr(0))")
 def binary_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Files small enough and without NUL bytes at their start."""
-    return table(spark, d, "files").where(filters.keep_bytes(F.col("content").cast("binary"))).select("id", "path")
+    """Files of at most four kibibytes and without NUL bytes at their start."""
+    return table(spark, d, "files").where(filters.keep_bytes(F.col("content").cast("binary"), 4096)).select("id", "path")
+
+
+@query(
+    """SELECT f.* FROM (SELECT id, repo_id, sha, path, length(content) AS n_chars FROM files QUALIFY row_number() OVER (PARTITION BY repo_id, sha, path ORDER BY id) = 1) f
+    SEMI JOIN (SELECT DISTINCT repo_id, sha, path FROM symbols WHERE name = 'encode') s USING (repo_id, sha, path)"""
+)
+def file_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The files in which `encode` is defined, by their keys."""
+    keys = table(spark, d, "symbols").where("name = 'encode'")
+    return tools.lookup(table(spark, d, "files"), keys).select("id", "repo_id", "sha", "path", F.length("content").cast("long").alias("n_chars"))
 
 
 @query(
@@ -231,6 +240,17 @@ def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
     return search.phrase(_texts(spark, d), ["short", "name"])
 
 
+@query(
+    f"""SELECT id, {_SCORE.replace("worker", "@1").replace("settings", "short").replace("@1", "name")[:-4]} + len(list_filter(t, lambda x: x = 'worker'))::DOUBLE / (len(list_filter(t, lambda x: x = 'worker')) + 1)
+    + len(list_filter(t, lambda x: x = 'settings'))::DOUBLE / (len(list_filter(t, lambda x: x = 'settings')) + 1), 9) AS score
+    FROM (SELECT doc_id AS id, {_tokens('text')} AS t FROM documents)
+    WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' short name ') AND NOT list_contains(t, 'logger') OR list_contains(t, 'worker') AND list_contains(t, 'settings')"""
+)
+def fts_web(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for a query with a phrase, a word that must not be there, and an alternative."""
+    return search.web(_texts(spark, d), '"short name" -logger or worker settings', k=None)
+
+
 _DIST = f"round(1 - list_sum(list_transform(list_zip(embedding, {_QV}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({_QV}, lambda x: x::DOUBLE * x::DOUBLE)))), 6)"
 
 
@@ -275,6 +295,22 @@ def hybrid_lexical_only(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(_texts(spark, d), _vectors(spark, d).where(F.size("embedding") < 0), TERMS, _query_vector())
 
 
+_CODE = f"(SELECT c.* FROM chunks c {_LATEST.format('c')})"
+
+
+@query(
+    f"""WITH near AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT vec_id AS id, {_DIST} AS distance FROM embeddings WHERE vec_id IN (SELECT id FROM {_CODE}) ORDER BY distance, id LIMIT 50)),
+    lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, {_SCORE.replace("worker", "def").replace("settings", "result")} AS score FROM (SELECT id, {_tokens('content')} AS t FROM {_CODE})
+        WHERE list_contains(t, 'def') AND list_contains(t, 'result') ORDER BY score DESC, id LIMIT 50)),
+    best AS (SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM lex) GROUP BY id ORDER BY score DESC, id LIMIT 10)
+    SELECT CAST(row_number() OVER (ORDER BY b.score DESC, b.id) AS INT) AS position, path, b.score, path || ':' || start_line || '-' || end_line || ' (' || coalesce(symbol_name, 'module') || ')' || chr(10) || content AS text
+    FROM best b JOIN {_CODE} c ON c.id = b.id"""
+)
+def search_code(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best chunks of the last indexed commits, as an agent reads them."""
+    return search.search_code(table(spark, d, "chunks"), _vectors(spark, d), ["def", "result"], _query_vector(), repos=table(spark, d, "repos"))
+
+
 @query(
     f"""SELECT id, array_to_string(list_transform(range(64), lambda b: len(list_filter(h, lambda x: x = b))), ' ') AS counts FROM (
     SELECT doc_id AS id, list_transform({_tokens('text')}, lambda w: CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) % 64) AS h FROM documents) WHERE len(h) > 0"""
@@ -440,8 +476,9 @@ def symbol_outline(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT repo_id, sha, array_to_string(p[:i - 1], '/') AS parent, p[i] AS name, i < len(p) AS is_dir, count(*) AS n_files FROM (
-    SELECT repo_id, sha, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT repo_id, sha, string_split(path, '/') AS p FROM files)) GROUP BY ALL"""
+    """SELECT repo_id, sha, array_to_string(p[:i - 1], '/') AS parent, p[i] AS name, i < len(p) AS is_dir, count(*) AS n_files,
+    CAST(row_number() OVER (PARTITION BY repo_id, sha, array_to_string(p[:i - 1], '/') ORDER BY i < len(p) DESC, p[i]) AS INT) AS position FROM (
+    SELECT repo_id, sha, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT repo_id, sha, string_split(path, '/') AS p FROM files)) GROUP BY repo_id, sha, array_to_string(p[:i - 1], '/'), p[i], i < len(p)"""
 )
 def tree(spark: SparkSession, d: str) -> DataFrame:
     """Every directory of every tree with its entries."""
@@ -450,39 +487,80 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------- citations and evaluation
 
-_CITED = """SELECT doc_id, repo_id, CAST(i - 1 AS INT) AS n, p[i] AS path, TRY_CAST(f[i] AS BIGINT) AS first, TRY_CAST(CASE WHEN l[i] <> '' THEN l[i] ELSE f[i] END AS BIGINT) AS last FROM (
-    SELECT doc_id, repo_id, p, f, l, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, repo_id, regexp_extract_all(text, '\\b([\\w./\\-]+):(\\d+)(?:-(\\d+))?\\b', 1) AS p,
-    regexp_extract_all(text, '\\b([\\w./\\-]+):(\\d+)(?:-(\\d+))?\\b', 2) AS f, regexp_extract_all(text, '\\b([\\w./\\-]+):(\\d+)(?:-(\\d+))?\\b', 3) AS l FROM documents))"""
-_COUNTS = f"SELECT repo_id, path, max(len({_LINES})) AS n_lines FROM files GROUP BY repo_id, path"
-_VALID = f"SELECT c.*, coalesce(first >= 1 AND first <= last AND last <= n_lines, false) AS valid FROM ({_CITED}) c LEFT JOIN ({_COUNTS}) k ON k.repo_id = c.repo_id AND k.path = c.path"
+_REF = "'\\b([\\w./\\-]+):(\\d+)(?:-(\\d+))?\\b'"
+_CITED = f"""SELECT doc_id, repo_id, sha, CAST(i - 1 AS INT) AS n, p[i] AS path, TRY_CAST(f[i] AS BIGINT) AS first, TRY_CAST(CASE WHEN l[i] <> '' THEN l[i] ELSE f[i] END AS BIGINT) AS last, r[i] AS ref FROM (
+    SELECT doc_id, repo_id, sha, p, f, l, r, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, d.repo_id, h.last_indexed_sha AS sha, regexp_extract_all(text, {_REF}, 1) AS p,
+    regexp_extract_all(text, {_REF}, 2) AS f, regexp_extract_all(text, {_REF}, 3) AS l, regexp_extract_all(text, {_REF}) AS r FROM documents d LEFT JOIN repos h ON h.id = d.repo_id))"""
+_COUNTS = f"SELECT repo_id, sha, path, max(len({_LINES})) AS n_lines FROM files GROUP BY repo_id, sha, path"
+_VALID = f"""SELECT c.*, coalesce(first >= 1 AND first <= last AND last <= n_lines, false) AS valid FROM ({_CITED}) c
+    LEFT JOIN ({_COUNTS}) k ON k.repo_id = c.repo_id AND k.sha = c.sha AND k.path = c.path"""
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers about their repository at its last indexed commit."""
+    heads = table(spark, d, "repos").select(F.col("id").alias("repo_id"), F.col("last_indexed_sha").alias("sha"))
+    return table(spark, d, "documents").select("doc_id", "repo_id", "text").join(heads, "repo_id", "left")
 
 
 @query(_VALID)
 def validate_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Every reference in every document, checked against its repository."""
-    return citations.validate(table(spark, d, "documents"), table(spark, d, "files"))
+    """Every reference in every document, checked against its repository's last indexed commit."""
+    return citations.validate(_answers(spark, d), table(spark, d, "files"))
 
 
 @query(
-    f"""SELECT doc_id, count(*) AS n_cited, count(*) FILTER (WHERE valid) AS n_valid, coalesce(array_to_string(list_sort(list_distinct(list(path || ':' || first) FILTER (WHERE NOT valid))), ' '), '') AS invalid FROM ({_VALID}) GROUP BY doc_id"""
+    f"""SELECT doc_id, count(*) AS n_cited, count(*) FILTER (WHERE valid) AS n_valid, coalesce(array_to_string(list_sort(list_distinct(list(ref) FILTER (WHERE NOT valid))), ' '), '') AS invalid FROM ({_VALID}) GROUP BY doc_id"""
 )
 def citation_summary(spark: SparkSession, d: str) -> DataFrame:
     """Valid and invalid references of every document."""
-    return citations.summary(table(spark, d, "documents"), table(spark, d, "files"))
+    return citations.summary(_answers(spark, d), table(spark, d, "files"))
 
 
 @query(
-    f"""WITH truth AS (SELECT repo_id, name, list_sort(list_distinct(list(path))) AS truth FROM symbols WHERE kind = 'class' GROUP BY repo_id, name),
-    hits AS (SELECT repo_id, name, list(path) AS hits FROM (SELECT DISTINCT repo_id, symbol_name AS name, path FROM chunks WHERE symbol_kind = 'class') GROUP BY repo_id, name)
-    SELECT t.repo_id, count(*) AS n_questions, round(avg(len(list_intersect(truth, coalesce(hits, [])))::DOUBLE / len(truth)), 9) AS recall, round(avg(coalesce(len(hits), 0)), 9) AS files_seen
-    FROM truth t LEFT JOIN hits h USING (repo_id, name) GROUP BY t.repo_id"""
+    f"""SELECT d.doc_id, coalesce(n_valid, 0) AS n_valid, coalesce(n_invalid, 0) AS n_invalid, list_reduce(list_prepend(d.text, coalesce(wrong, CAST([] AS VARCHAR[]))), lambda t, r: replace(t, r, '')) AS answer FROM documents d LEFT JOIN (
+    SELECT doc_id, count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE NOT valid) AS n_invalid, list(ref ORDER BY n) FILTER (WHERE NOT valid) AS wrong FROM ({_VALID}) GROUP BY doc_id) v ON v.doc_id = d.doc_id"""
 )
+def validate_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the references that do not hold."""
+    return citations.stripped(_answers(spark, d), table(spark, d, "files"))
+
+
+_QUESTIONS = f"""SELECT row_number() OVER (ORDER BY repo_id, name) AS question_id, repo_id, name, list_sort(list_distinct(list(path))) AS truth, list_distinct(regexp_extract_all(lower(replace(name, '_', ' ')), '[\\p{{L}}\\p{{N}}_]+')) AS terms
+    FROM (SELECT s.* FROM symbols s {_LATEST.format('s')}) GROUP BY repo_id, name"""
+_HITS = f"""SELECT question_id, id, path, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT question_id, id, path, any_value(n_terms) AS n_terms, count(*) AS held, round(sum(tf::DOUBLE / (tf + 1)), 9) AS score FROM (
+        SELECT repo_id, id, path, word, count(*) AS tf FROM (SELECT repo_id, id, path, unnest({_tokens('content')}) AS word FROM {_CODE}) GROUP BY ALL) JOIN (
+        SELECT question_id, repo_id, len(terms) AS n_terms, unnest(terms) AS word FROM q) USING (repo_id, word) GROUP BY question_id, id, path) WHERE held = n_terms QUALIFY rank <= 10"""
+_SEARCHED = f"""WITH q AS ({_QUESTIONS}), h AS (SELECT question_id, list_sort(list_distinct(list(path))) AS hits FROM ({_HITS}) GROUP BY question_id),
+    r AS (SELECT q.*, coalesce(hits, CAST([] AS VARCHAR[])) AS hits FROM q LEFT JOIN h USING (question_id))"""
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    """Questions for the files that define each name of the last indexed commits, searched among the chunks by the words of that name."""
+    repos = table(spark, d, "repos")
+    truth = search.latest(table(spark, d, "symbols"), repos).groupBy("repo_id", "name").agg(F.array_sort(F.collect_set("path")).alias("truth"))
+    questions = truth.withColumn("question_id", F.struct("repo_id", "name")).withColumn("terms", tx.words(F.replace("name", F.lit("_"), F.lit(" "))))
+    texts = search.latest(table(spark, d, "chunks"), repos).select("repo_id", "id", "path", F.col("content").alias("text"))
+    return evaluate.searched(questions, search.batch(texts, questions, 10))
+
+
+@query(f"{_SEARCHED} SELECT repo_id, count(*) AS n_questions, round(avg(len(list_intersect(truth, hits))::DOUBLE / len(truth)), 9) AS recall, round(avg(len(hits)), 9) AS files_seen FROM r GROUP BY repo_id")
 def recall_report(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the files that define each class among the files whose chunks carry its name, by repository."""
-    truth = table(spark, d, "symbols").where("kind = 'class'").groupBy("repo_id", "name").agg(F.collect_set("path").alias("truth"))
-    hits = table(spark, d, "chunks").where("symbol_kind = 'class'").groupBy("repo_id", F.col("symbol_name").alias("name")).agg(F.collect_set("path").alias("hits"))
-    rows = truth.join(hits, ["repo_id", "name"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
-    return evaluate.report(rows)
+    """Recall at ten of the files that define each name when it is searched, by repository."""
+    return evaluate.report(_searched(spark, d))
+
+
+@query(f"{_SEARCHED} SELECT round(avg(recall), 9) AS recall, count(*) AS n_repos FROM (SELECT repo_id, round(avg(len(list_intersect(truth, hits))::DOUBLE / len(truth)), 9) AS recall FROM r GROUP BY repo_id)")
+def recall_overall(spark: SparkSession, d: str) -> DataFrame:
+    """The mean recall over repositories, each counted once."""
+    return evaluate.overall(evaluate.report(_searched(spark, d)))
+
+
+@query(f"{_SEARCHED} SELECT repo_id, name, array_to_string(list_sort(list_filter(truth, lambda p: NOT list_contains(hits, p))), ' ') AS missing FROM r WHERE len(list_intersect(truth, hits)) < len(truth)")
+def missing_files(spark: SparkSession, d: str) -> DataFrame:
+    """Questions whose search misses files, and which."""
+    rows = _searched(spark, d).where(F.size("missing") > 0)
+    return rows.select("repo_id", F.col("question_id.name").alias("name"), F.array_join("missing", " ").alias("missing"))
 
 
 @query(
@@ -581,3 +659,42 @@ def sse_frames(spark: SparkSession, d: str) -> DataFrame:
     """Every event as a frame, and what a client reads from it."""
     framed = table(spark, d, "events").select("event_id", progress.frame(F.struct("event_id", "event_type", "value")).alias("frame"))
     return framed.select("event_id", "frame", F.get(progress.frames(F.col("frame")), 0).alias("payload"))
+
+
+@query(
+    """SELECT repo_id, id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY id) AS INT) AS position FROM (SELECT repo_id, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL))
+    QUALIFY position <= 100"""
+)
+def embed_pending(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred oldest documents of every repository that lack a vector."""
+    return store.pending(table(spark, d, "documents").select("repo_id", F.col("doc_id").alias("id")), _vectors(spark, d), 100)
+
+
+@query(
+    """SELECT r.id AS repo_id, EXISTS (SELECT 1 FROM files f WHERE f.repo_id = r.id AND f.sha = r.last_indexed_sha) AND EXISTS (SELECT 1 FROM chunks c WHERE c.repo_id = r.id AND c.sha = r.last_indexed_sha)
+    AND EXISTS (SELECT 1 FROM symbols s WHERE s.repo_id = r.id AND s.sha = r.last_indexed_sha) AS complete FROM repos r"""
+)
+def index_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the last indexed commit of every repository has files, chunks and symbols."""
+    return browse.complete(table(spark, d, "repos"), **{t: table(spark, d, t) for t in ("files", "chunks", "symbols")})
+
+
+@query(
+    """SELECT r.id, r.status, coalesce(p.pending, 0) AS pending, r.status = 'done' AND coalesce(p.pending, 0) = 0 AS finished FROM (SELECT DISTINCT ON (id) * FROM index_runs) r LEFT JOIN (
+    SELECT repo_id, sha, count(*) AS pending FROM chunks WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL) GROUP BY repo_id, sha) p ON p.repo_id = r.repo_id AND p.sha = r.sha"""
+)
+def run_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Every run with the chunks of its commit that lack a vector."""
+    return progress.run_pending(table(spark, d, "index_runs"), table(spark, d, "chunks"), _vectors(spark, d))
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS step FROM events")
+def step_trace(spark: SparkSession, d: str) -> DataFrame:
+    """The events of every user numbered as steps."""
+    return progress.steps(table(spark, d, "events"), "user_id")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY user_id")
+def run_usage(spark: SparkSession, d: str) -> DataFrame:
+    """How many events every user has and what they add up to."""
+    return progress.usage(table(spark, d, "events"), "user_id", "value")

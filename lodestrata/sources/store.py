@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TABLES = ("files", "chunks", "symbols")
 KEYS = ("repo_id", "sha")
@@ -71,3 +72,10 @@ def backfill(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """chunks (id, embedding, ...) with missing vectors filled from (id, embedding)."""
     fresh = vectors.groupBy("id").agg(F.first("embedding", ignorenulls=True).alias("fresh"))
     return chunks.join(fresh, "id", "left").withColumn("embedding", F.coalesce("embedding", "fresh")).drop("fresh")
+
+
+def pending(rows: DataFrame, vectors: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo_id, id, position): rows (repo_id, id) without a vector, oldest first within each repository, the first ``limit`` of each if there is one."""
+    missing = rows.select("repo_id", "id").join(vectors.where("embedding is not null").select("id"), "id", "left_anti")
+    out = missing.select("repo_id", "id", F.row_number().over(Window.partitionBy("repo_id").orderBy("id")).alias("position"))
+    return out if limit is None else out.where(F.col("position") <= limit)

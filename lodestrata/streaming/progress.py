@@ -41,6 +41,23 @@ def run_states(runs: DataFrame) -> DataFrame:
     return last
 
 
+def run_pending(runs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id, status, pending, finished): each run with the chunks of its commit that lack a vector; one is finished when it is done and lacks none."""
+    missing = chunks.join(vectors.where("embedding is not null").select("id"), "id", "left_anti").groupBy("repo_id", "sha").agg(F.count("*").alias("pending"))
+    rows = runs.dropDuplicates(["id"]).join(missing, ["repo_id", "sha"], "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
+    return rows.select("id", "status", "pending", ((F.col("status") == "done") & (F.col("pending") == 0)).alias("finished"))
+
+
+def steps(events: DataFrame, key: str) -> DataFrame:
+    """(key, event_id, step): the events of each run numbered from 1 in their order."""
+    return events.select(key, "event_id", F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id")).alias("step"))
+
+
+def usage(events: DataFrame, key: str, amount: str) -> DataFrame:
+    """(key, n, total): how many events each run has and what they add up to."""
+    return events.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(amount), 6).alias("total"))
+
+
 def stage_totals(runs: DataFrame) -> DataFrame:
     """(id, files, chunks, total_ms): what each run counted, from its JSON."""
     stats = F.from_json("stats", "files long, chunks long, ms map<string, long>")

@@ -136,12 +136,68 @@ def test_find_symbol_says_when_there_are_more(spark):
 
 def test_citations(spark):
     tree = files(spark, ("src/app.py", "a\nb\nc\nd\n"))
-    say = lambda t: [(r.path, r.first, r.last, r.valid) for r in citations.validate(spark.createDataFrame([(1, 1, t)], "doc_id long, repo_id long, text string"), tree).orderBy("n").collect()]
+    sha = tree.first().sha
+    texts = lambda t: spark.createDataFrame([(1, 1, sha, t)], "doc_id long, repo_id long, sha string, text string")
+    say = lambda t: [(r.path, r.first, r.last, r.valid) for r in citations.validate(texts(t), tree).orderBy("n").collect()]
     assert say("see src/app.py:1-4") == [("src/app.py", 1, 4, True)]
     assert say("src/app.py:2 and gone.py:1") == [("src/app.py", 2, 2, True), ("gone.py", 1, 1, False)]
     assert say("src/app.py:4-5, src/app.py:0") == [("src/app.py", 4, 5, False), ("src/app.py", 0, 0, False)]
     assert say("nothing") == []
     assert say("a.py:99999999999999999999") == [("a.py", None, None, False)]
+    strip = lambda t: citations.stripped(texts(t), tree).first()
+    assert strip("x src/app.py:1-4 y gone.py:1 z gone.py:1 .")[1:] == (1, 2, "x src/app.py:1-4 y  z  .")
+    assert strip("nothing")[1:] == (0, 0, "nothing") and strip(None)[1:] == (0, 0, None)
+
+
+def test_citations_go_by_the_commit_of_the_answer(spark):
+    rows = [(1, 1, "old", "a.py", "1\n2\n3\n", ""), (2, 1, "new", "a.py", "1\n", "")]
+    tree = spark.createDataFrame(rows, "id long, repo_id long, sha string, path string, content string, git_log string")
+    texts = spark.createDataFrame([(1, 1, "new", "a.py:3"), (2, 1, "old", "a.py:3"), (3, 1, None, "a.py:1")], "doc_id long, repo_id long, sha string, text string")
+    assert {r.doc_id: r.valid for r in citations.validate(texts, tree).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_queries_with_phrases_alternatives_and_words_that_must_not_be_there(spark):
+    assert search.parse_query('"Short name" -logger or worker settings') == [[("all", ["short", "name"]), ("not", ["logger"])], [("all", ["worker"]), ("all", ["settings"])]]
+    assert search.parse_query("") == search.parse_query("or") == []
+    texts = spark.createDataFrame([(1, "a short name"), (2, "short; name logger"), (3, "name short"), (4, "settings of a worker"), (5, None)], "id long, text string")
+    found = lambda q: sorted(r.id for r in search.web(texts, q).collect())
+    assert found('"short name" -logger') == [1] and found('"short name" -logger or worker settings') == [1, 4] and found("short name") == [1, 2, 3] and found("-short") == []
+
+
+def test_code_search_is_scoped_and_formatted(spark):
+    rows = [(1, "c.py", "s1"), (2, "a.py", "s1"), (3, "b.py", "s1"), (4, "old.py", "s0")]
+    chunks = spark.createDataFrame([(i, 1, sha, path, "class Store" if path != "b.py" else "class Other", "Store" if i < 3 else None, 1, 2) for i, path, sha in rows], "id long, repo_id long, sha string, path string, content string, symbol_name string, start_line int, end_line int")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8]), (4, [1.0, 0.0])], "id long, embedding array<double>")
+    query = F.array(F.lit(1.0), F.lit(0.0))
+    got = search.search_code(chunks, vectors, ["store"], query, 3, repo_id=1, sha="s1").orderBy("position").collect()
+    assert [r.path for r in got] == ["c.py", "a.py", "b.py"] and got[0].text == "c.py:1-2 (Store)\nclass Store" and got[2].text.startswith("b.py:1-2 (module)\n")
+    assert search.search_code(chunks.where("false"), vectors, ["store"], query, 3, repo_id=1, sha="s1").collect() == []
+
+
+def test_nearest_neighbours_in_slices_equal_brute_force(spark):
+    from lodestrata.functions.knn import block_knn
+
+    rows = [(i, [float((i * 7 + k * 3) % 11) for k in range(4)]) for i in range(40)] + [(90, [0.0] * 4), (91, None), (92, [1.0])]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = vectors.where("id % 5 = 0").selectExpr("id as query_id", "embedding as query")
+    cos = lambda a, b: round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5), 6)
+    want = {(q, i) for q, a in rows if q % 5 == 0 and a and any(a) for _, i in sorted((cos(a, b), i) for i, b in rows if b and any(b) and len(b) == len(a))[:3]}
+    for size in (1 << 20, 100):
+        assert {(r.query_id, r.id) for r in block_knn(vectors, queries, 3, size).collect()} == want
+
+
+def test_lookup_pending_ignored_and_complete(spark):
+    from lodestrata.operators import browse
+    from lodestrata.sources import store
+
+    tree = files(spark, ("a.py", "x"), ("b.py", "y"))
+    assert [r.path for r in tools.lookup(tree.union(tree), tree.where("path = 'a.py'")).collect()] == ["a.py"]
+    assert [r.path for r in filters.not_ignored(tree, tree.where("path = 'a.py'")).collect()] == ["b.py"]
+    vectors = spark.createDataFrame([(2, [1.0]), (3, None)], "id long, embedding array<double>")
+    rows = spark.createDataFrame([(1, i) for i in (4, 3, 2, 1)], "repo_id long, id long")
+    assert [(r.id, r.position) for r in store.pending(rows, vectors, 2).orderBy("id").collect()] == [(1, 1), (3, 2)]
+    repos = spark.createDataFrame([(1, tree.first().sha), (2, None)], "id long, last_indexed_sha string")
+    assert {r.repo_id: r.complete for r in browse.complete(repos, files=tree).collect()} == {1: True, 2: False}
 
 
 def test_recall(spark):
