@@ -7,12 +7,13 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: File extensions of source code and the language of each.
 LANGUAGE_OF = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript"}
 
-#: Tables of a few narrow columns are broadcast up to this many rows, which are counted first; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Tables are broadcast up to so many rows and bytes, which are measured first; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,11 +54,13 @@ def partitions(df: DataFrame) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder the session names; only without one, as in tests, make a local one."""
+    """Take the shared folder the session names; without one only a local session, as in tests, gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 
@@ -67,7 +70,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has no more than so many rows; for narrow results that are cheap to count."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if it has no more than so many rows and bytes; for results that are cheap to write and measure."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = F.lit(16 * len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            width = width + 8 * F.coalesce(F.size(field.name), F.lit(0))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
