@@ -51,6 +51,7 @@ class Unit(NamedTuple):
     name: str | None
     members: tuple = ()
     head: int = 0  # last line of the signature
+    statements: tuple = ()  # first lines of the statements of a function's body
 
 
 def _python_units(text: str) -> list[Unit]:
@@ -76,15 +77,16 @@ def _python_units(text: str) -> list[Unit]:
 
 def _python_unit(node: ast.stmt, shift: int) -> Unit:
     first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-    kind, members, head = "other", (), 0
+    kind, members, head, statements = "other", (), 0, ()
     if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+        statements = tuple(min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) + shift for n in node.body)
         kind, head = "function", node.body[0].lineno - 1 if node.body[0].lineno > node.lineno else node.lineno
     elif isinstance(node, ast.ClassDef):
         kind = "class"
         members = tuple(_python_unit(n, shift) for n in node.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef))
     elif isinstance(node, ast.Import | ast.ImportFrom):
         kind = "import"
-    return Unit(first + shift, node.end_lineno + shift, kind, getattr(node, "name", None), members, head + shift)
+    return Unit(first + shift, node.end_lineno + shift, kind, getattr(node, "name", None), members, head + shift, statements)
 
 
 def _typescript_units(text: str, first: int = 1, member: bool = False) -> list[Unit]:
@@ -147,18 +149,37 @@ def python_imports(text: str) -> list[str]:
     return list(dict.fromkeys(names))
 
 
-def _packed(lines: list[str], first: int, last: int, budget: int) -> Iterator[tuple[int, int]]:
-    """Runs of lines first..last that each stay within a budget where single lines allow it."""
+def _packed(lines: list[str], first: int, last: int, budget: int, starts: tuple = ()) -> Iterator[tuple[int, int]]:
+    """Runs of lines first..last that each stay within a budget where single lines allow it.
+
+    With ``starts``, the lines on which statements begin, a run ends before one of them unless one statement alone is over the budget.
+    """
+    begins = sorted({first, *(s for s in starts if first < s <= last)}) if starts else range(first, last + 1)
+    width = lambda a, b: sum(len(x) + 1 for x in lines[a - 1 : b])
     start, size = first, 0
-    for n in range(first, last + 1):
-        width = len(lines[n - 1]) + 1
-        if size and size + width > budget:
-            yield start, n - 1
-            start, size = n, 0
-        size += width
+    for a, b in zip(begins, [*(s - 1 for s in begins[1:]), last], strict=True):
+        wide = width(a, b)
+        if size and size + wide > budget:
+            yield start, a - 1
+            start, size = a, 0
+        if wide > budget and b > a:
+            *pieces, (start, _) = _packed(lines, start, b, budget)
+            yield from pieces
+            wide = width(start, b) - size
+        size += wide
     yield start, last
 
 
+def _statements(text: str, u: Unit) -> tuple:
+    """First lines of the statements in the body of a TypeScript function."""
+    lines = text.split("\n")
+    body = "\n".join(lines[u.first - 1 : u.last])
+    at = body.find("{", sum(len(x) + 1 for x in lines[u.first - 1 : max(u.head, u.first) - 1]))
+    if at < 0 or "}" not in body[at:]:
+        return ()
+    return tuple(s.first for s in _typescript_units(body[at + 1 : body.rindex("}")], u.first + body.count("\n", 0, at + 1)))
+
+
 def cut(text: str, lang: str, max_chars: int = MAX_CHARS) -> list[tuple]:
     """(name, kind, parent, first line, last line, content) of each chunk of a file."""
     if not text.strip():
@@ -179,7 +200,7 @@ def cut(text: str, lang: str, max_chars: int = MAX_CHARS) -> list[tuple]:
         head = lines[u.first - 1 : min(max(u.head, u.first), u.first + SIGNATURE_LINES - 1)]
         signature = "\n".join([*head, "..."] if u.head - u.first >= SIGNATURE_LINES else head)
         room = max(max_chars - len(signature) - 1, max_chars // 4)
-        for k, (a, b) in enumerate(_packed(lines, u.first, u.last, room)):
+        for k, (a, b) in enumerate(_packed(lines, u.first, u.last, room, u.statements or (_statements(text, u) if lang != "python" else ()))):
             emit(a, b, kind, u.name, parent, signature if k else "")
 
     def klass(u: Unit, parent: str | None) -> None:

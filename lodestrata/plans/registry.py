@@ -207,12 +207,20 @@ def chunk_files(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_files(table(spark, d, "files"))
 
 
+@query("SELECT DISTINCT repo_id, sha, path, symbol_name, end_line FROM chunks WHERE symbol_kind = 'function'")
+def chunk_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The last lines of whole functions in every file that has symbols, as a file that does not parse has no chunk but itself in the table."""
+    whole = table(spark, d, "symbols").select("repo_id", "sha", "path").distinct()
+    rows = chunking.chunk_files(table(spark, d, "files"), max_chars=1_000_000).where("symbol_kind = 'function'").join(whole, ["repo_id", "sha", "path"], "left_semi")
+    return rows.select("repo_id", "sha", "path", "symbol_name", "end_line").distinct()
+
+
 @query("SELECT DISTINCT repo_id, sha, path, name, kind, parent_symbol, line FROM symbols")
 def symbol_extract(spark: SparkSession, d: str) -> DataFrame:
-    """The symbols read from the source of every file that has symbols in the table."""
-    known = table(spark, d, "symbols").select("repo_id", "sha", "path").distinct()
-    rows = chunking.extract_symbols(table(spark, d, "files")).drop("file_id").distinct()
-    return rows.join(known, ["repo_id", "sha", "path"], "left_semi").select("repo_id", "sha", "path", "name", "kind", "parent_symbol", "line")
+    """The symbols read from the source of every file that was cut into chunks; the table has none of files that do not parse."""
+    cut = table(spark, d, "chunks").where("symbol_kind != 'module'").select("repo_id", "sha", "path").distinct()
+    rows = chunking.extract_symbols(table(spark, d, "files").join(cut, ["repo_id", "sha", "path"], "left_semi"))
+    return rows.select("repo_id", "sha", "path", "name", "kind", "parent_symbol", "line").distinct()
 
 
 # ------------------------------------------------------------------- search
