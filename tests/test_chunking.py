@@ -111,16 +111,16 @@ def test_table(spark):
 def test_long_functions_are_cut_between_statements():
     body = "".join(f"    x{i} = [\n        {i},\n        {i + 1},\n    ]\n" for i in range(12))
     text = f"def big(a):\n{body}    return a\n"
-    pieces = [c for c in chunking.cut(text, "python", 200) if c[1] == "function"]
+    pieces = [c for c in cut(text, "python", 200) if c[1] == "function"]
     lines = text.split("\n")
     assert len(pieces) > 2 and [p[3] for p in pieces[1:]] == [p[4] + 1 for p in pieces[:-1]] and pieces[0][3] == 1 and pieces[-1][4] == 50
     assert all(lines[p[3] - 1].startswith(("    x", "    return", "def")) for p in pieces) and all(p[5].startswith("def big(a):") for p in pieces)
     script = "function big(a) {\n" + "".join(f"  call({{\n    k: {i},\n    v: {i},\n  }});\n" for i in range(12)) + "  return a;\n}\n"
-    cut = [c for c in chunking.cut(script, "typescript", 200) if c[1] == "function"]
-    assert len(cut) > 2 and all(script.split("\n")[c[3] - 1].startswith(("  call", "  return", "function")) for c in cut)
+    parts = [c for c in cut(script, "typescript", 200) if c[1] == "function"]
+    assert len(parts) > 2 and all(script.split("\n")[c[3] - 1].startswith(("  call", "  return", "function")) for c in parts)
 
 
 def test_a_statement_over_the_budget_is_cut_by_lines():
     text = "def big(a):\n    x = [\n" + "".join(f"        {i},\n" for i in range(60)) + "    ]\n    return x\n"
-    pieces = [c for c in chunking.cut(text, "python", 120) if c[1] == "function"]
+    pieces = [c for c in cut(text, "python", 120) if c[1] == "function"]
     assert [p[3] for p in pieces[1:]] == [p[4] + 1 for p in pieces[:-1]] and pieces[-1][4] == 64 and len(pieces) > 3
