@@ -102,3 +102,28 @@ def complete(repos: DataFrame, **tables: DataFrame) -> DataFrame:
         heads = heads.join(rows.select(*SCOPE).distinct().withColumn(name, F.lit(True)), list(SCOPE), "left")
         has = has & F.coalesce(name, F.lit(False))
     return heads.select("repo_id", has.alias("complete"))
+
+
+def with_repos(rows: DataFrame, repos: DataFrame) -> DataFrame:
+    """Rows (repo_id, ...) of known repositories with ``owner`` and ``name`` of each."""
+    return rows.join(repos.select(F.col("id").alias("repo_id"), "owner", "name"), "repo_id")
+
+
+def orientation(files: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo_id, sha, languages, key_files, top_symbols, entry_points, readme): one row a tree, what a newcomer is shown, each list in its order."""
+
+    def listed(rows: DataFrame, order, shown, name: str) -> DataFrame:
+        entries = F.array_sort(F.collect_list(F.struct(order.alias("o"), shown.alias("s"))))  # a few entries a tree
+        return rows.groupBy(*SCOPE).agg(F.array_join(F.transform(entries, lambda e: e["s"]), "; ").alias(name))
+
+    parts = [
+        listed(language_files(chunks), F.struct(-F.col("n_files"), "language"), F.concat_ws(" ", "language", F.col("n_files").cast("string")), "languages"),
+        listed(key_files(symbols), F.col("rank"), F.col("path"), "key_files"),
+        listed(top_symbols(symbols), F.col("position"), F.col("name"), "top_symbols"),
+        listed(entry_points(files), F.col("position"), F.col("path"), "entry_points"),
+        readmes(files).select(*SCOPE, F.col("path").alias("readme")),
+    ]
+    out = files.select(*SCOPE).distinct()
+    for part in parts:
+        out = out.join(part, list(SCOPE), "left")
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.functions.text import citations, lines
 
@@ -41,3 +42,9 @@ def stripped(texts: DataFrame, files: DataFrame) -> DataFrame:
     rows = texts.select("doc_id", "text").join(by, "doc_id", "left")
     answer = F.aggregate(F.coalesce("wrong", F.array().cast("array<string>")), F.col("text"), lambda t, ref: F.replace(t, ref, F.lit("")))
     return rows.select("doc_id", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"), answer.alias("answer"))
+
+
+def files_read(refs: DataFrame) -> DataFrame:
+    """(doc_id, path, position): the files that the references of :func:`cited` name, each once, in the order in which they first come up."""
+    first = refs.groupBy("doc_id", "path").agg(F.min("n").alias("n"))
+    return first.select("doc_id", "path", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")).alias("position"))

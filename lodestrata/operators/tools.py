@@ -121,7 +121,7 @@ def find_symbol(symbols: DataFrame, name: str, cap: int = MAX_ROWS) -> DataFrame
 
 
 def find_references(chunks: DataFrame, name: str, cap: int = MAX_ROWS) -> DataFrame:
-    """(repo_id, sha, path, start_line, first_line): chunks that hold every word of a name, the first by path and line."""
+    """(repo_id, sha, path, start_line, first_line, truncated): chunks that hold every word of a name, the first by path and line, and whether there are more."""
     wanted = [w.lower() for w in re.findall(r"[^\W]+", name)]
     text = F.concat_ws(" ", "content", "symbol_name")
     rows = chunks
@@ -129,7 +129,9 @@ def find_references(chunks: DataFrame, name: str, cap: int = MAX_ROWS) -> DataFr
         rows = rows.where(F.lower(text).contains(w) & F.array_contains(words(text), w))
     w = Window.partitionBy(*SCOPE).orderBy("path", "start_line", "id")
     rows = rows.select(*SCOPE, "path", "start_line", "id", F.get(F.split("content", "\n"), 0).alias("first_line"))
-    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).select(*SCOPE, "path", "start_line", "first_line")
+    rows = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap + 1)
+    rows = rows.withColumn("truncated", F.max("n").over(Window.partitionBy(*SCOPE)) > cap).where(F.col("n") <= cap)
+    return rows.select(*SCOPE, "path", "start_line", "first_line", "truncated")
 
 
 def git_log(files: DataFrame, n: int = 10) -> DataFrame:

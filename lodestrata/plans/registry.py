@@ -389,7 +389,7 @@ def symbol_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT repo_id, sha, path, start_line, split_part(content, chr(10), 1) AS first_line FROM (SELECT *, {_tokens("concat_ws(' ', content, symbol_name)")} AS t FROM chunks) WHERE list_contains(t, 'logger') AND list_contains(t, 'warning')
+    f"""SELECT repo_id, sha, path, start_line, split_part(content, chr(10), 1) AS first_line, count(*) OVER (PARTITION BY repo_id, sha) > 20 AS truncated FROM (SELECT *, {_tokens("concat_ws(' ', content, symbol_name)")} AS t FROM chunks) WHERE list_contains(t, 'logger') AND list_contains(t, 'warning')
     QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY path, start_line, id) <= 20"""
 )
 def find_references(spark: SparkSession, d: str) -> DataFrame:
@@ -493,6 +493,32 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return browse.tree(table(spark, d, "files"))
 
 
+@query(
+    f"""WITH k AS ({_KEYS}), t AS (SELECT s.repo_id, s.sha, s.name, row_number() OVER (PARTITION BY s.repo_id, s.sha ORDER BY k.rank, s.line, s.id) AS position
+        FROM symbols s JOIN k USING (repo_id, sha, path) WHERE s.kind = 'class' AND s.parent_symbol IS NULL AND left(s.name, 1) <> '_' QUALIFY position <= 10),
+    e AS (SELECT repo_id, sha, path, row_number() OVER (PARTITION BY repo_id, sha ORDER BY noise, depth, path) AS position FROM (
+        SELECT DISTINCT repo_id, sha, path, CAST(list_has_any(string_split(path, '/'), ['tests', 'test', 'examples', 'docs', 'scripts']) AS INT) AS noise, len(string_split(path, '/')) AS depth FROM files
+        WHERE string_split(path, '/')[-1] IN ('main.py', '__main__.py', 'manage.py', 'app.py', 'cli.py', 'index.ts', 'index.js', 'server.ts', 'Dockerfile', 'Makefile')) QUALIFY position <= 5),
+    l AS (SELECT repo_id, sha, language, count(DISTINCT path) AS n FROM chunks GROUP BY ALL),
+    m AS (SELECT repo_id, sha, path FROM files WHERE starts_with(lower(string_split(path, '/')[-1]), 'readme') QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY len(string_split(path, '/')), path, id) = 1)
+    SELECT f.repo_id, f.sha, ll.languages, kk.key_files, tt.top_symbols, ee.entry_points, m.path AS readme FROM (SELECT DISTINCT repo_id, sha FROM files) f
+    LEFT JOIN (SELECT repo_id, sha, string_agg(language || ' ' || n, '; ' ORDER BY n DESC, language) AS languages FROM l GROUP BY ALL) ll USING (repo_id, sha)
+    LEFT JOIN (SELECT repo_id, sha, string_agg(path, '; ' ORDER BY rank) AS key_files FROM k GROUP BY ALL) kk USING (repo_id, sha)
+    LEFT JOIN (SELECT repo_id, sha, string_agg(name, '; ' ORDER BY position) AS top_symbols FROM t GROUP BY ALL) tt USING (repo_id, sha)
+    LEFT JOIN (SELECT repo_id, sha, string_agg(path, '; ' ORDER BY position) AS entry_points FROM e GROUP BY ALL) ee USING (repo_id, sha)
+    LEFT JOIN m USING (repo_id, sha)"""
+)
+def orientation(spark: SparkSession, d: str) -> DataFrame:
+    """What a newcomer to every tree is shown, in one row."""
+    return browse.orientation(table(spark, d, "files"), table(spark, d, "chunks"), table(spark, d, "symbols"))
+
+
+@query("SELECT i.id, i.status, r.owner, r.name FROM (SELECT DISTINCT ON (id) * FROM index_runs) i JOIN repos r ON r.id = i.repo_id")
+def run_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Every run of a known repository with that repository's name."""
+    return browse.with_repos(table(spark, d, "index_runs").dropDuplicates(["id"]), table(spark, d, "repos")).select("id", "status", "owner", "name")
+
+
 # --------------------------------------------------- citations and evaluation
 
 _REF = "'\\b([\\w./\\-]+):(\\d+)(?:-(\\d+))?\\b'"
@@ -533,6 +559,12 @@ def validate_answer(spark: SparkSession, d: str) -> DataFrame:
     return citations.stripped(_answers(spark, d), table(spark, d, "files"))
 
 
+@query(f"SELECT doc_id, path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INT) AS position FROM (SELECT doc_id, path, min(n) AS n FROM ({_CITED}) GROUP BY doc_id, path)")
+def files_read_union(spark: SparkSession, d: str) -> DataFrame:
+    """The files that every document refers to, each once, in order."""
+    return citations.files_read(citations.cited(_answers(spark, d)))
+
+
 _QUESTIONS = f"""SELECT row_number() OVER (ORDER BY repo_id, name) AS question_id, repo_id, name, list_sort(list_distinct(list(path))) AS truth, list_distinct(regexp_extract_all(lower(replace(name, '_', ' ')), '[\\p{{L}}\\p{{N}}_]+')) AS terms
     FROM (SELECT s.* FROM symbols s {_LATEST.format('s')}) GROUP BY repo_id, name"""
 _HITS = f"""SELECT question_id, id, path, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM (
