@@ -36,3 +36,9 @@ def check_regression(now: float, baseline: float, tolerance: float = TOLERANCE)
     """Raise if recall fell by more than the tolerance."""
     if now < baseline - tolerance:
         raise ValueError(f"recall fell from {baseline:.4f} to {now:.4f}")
+
+
+def write_results(searched_: DataFrame, path: str) -> None:
+    """Write every question with its recall, hits and missing files as JSON lines, a folder a repository."""
+    rows = searched_.withColumn("recall", recall(F.col("truth"), F.col("hits")))
+    rows.repartition("repo_id").write.mode("overwrite").partitionBy("repo_id").json(path)

@@ -53,6 +53,23 @@ def steps(events: DataFrame, key: str) -> DataFrame:
     return events.select(key, "event_id", F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id")).alias("step"))
 
 
+def fold_exchange(events: DataFrame) -> DataFrame:
+    """(run_id, answer, steps, citations, done, error) of the frames (run_id, event_id, type, step, tool, text, path, first, last) of each run.
+
+    Tokens are put together in their order; a step has the summary of its result, null while it runs; ``done`` holds after a
+    done or an error frame, ``error`` is the text of the last error. A run's frames are one exchange, which a reader holds whole.
+    """
+    of = lambda kind, *fields: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("event_id", *fields))))
+    by = events.groupBy("run_id").agg(
+        of("token", "text").alias("tokens"), of("step_start", "step", "tool").alias("started"), of("step_result", "step", "text").alias("results"), of("citation", "path", "first", "last").alias("cited"),
+        F.max(F.col("type").isin("done", "error")).alias("done"), F.max_by(F.when(F.col("type") == "error", F.col("text")), F.when(F.col("type") == "error", F.col("event_id"))).alias("error"),
+    )
+    summary = lambda s: F.element_at(F.transform(F.filter("results", lambda r: r["step"] == s["step"]), lambda r: r["text"]), -1)
+    steps_ = F.transform("started", lambda s: F.struct(s["step"].alias("step"), s["tool"].alias("tool"), F.when(F.exists("results", lambda r: r["step"] == s["step"]), summary(s)).alias("summary")))
+    cited = F.transform("cited", lambda c: F.struct(c["path"].alias("path"), c["first"].alias("first"), c["last"].alias("last")))
+    return by.select("run_id", F.array_join(F.transform("tokens", lambda t: t["text"]), "").alias("answer"), steps_.alias("steps"), cited.alias("citations"), "done", "error")
+
+
 def usage(events: DataFrame, key: str, amount: str) -> DataFrame:
     """(key, n, total): how many events each run has and what they add up to."""
     return events.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(amount), 6).alias("total"))

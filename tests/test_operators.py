@@ -200,6 +200,22 @@ def test_lookup_pending_ignored_and_complete(spark):
     assert {r.repo_id: r.complete for r in browse.complete(repos, files=tree).collect()} == {1: True, 2: False}
 
 
+def test_frames_fold_to_an_exchange(spark):
+    rows = [(1, 1, "step_start", 1, "grep", None), (1, 2, "step_result", 1, None, "3 matches"), (1, 3, "step_start", 2, "read_file", None), (1, 5, "token", None, None, "world"), (1, 4, "token", None, None, "hello "), (1, 7, "done", None, None, None), (2, 8, "error", None, None, "quota")]
+    frames = spark.createDataFrame([(*r, None, None, None) for r in rows] + [(1, 6, "citation", None, None, None, "a.py", 1, 2)], "run_id int, event_id int, type string, step int, tool string, text string, path string, first int, last int")
+    got = {r.run_id: r for r in progress.fold_exchange(frames).collect()}
+    assert got[1].answer == "hello world" and [tuple(s) for s in got[1].steps] == [(1, "grep", "3 matches"), (2, "read_file", None)] and [tuple(c) for c in got[1].citations] == [("a.py", 1, 2)]
+    assert got[1].done and got[1].error is None and got[2].done and got[2].error == "quota" and got[2].answer == ""
+    assert progress.fold_exchange(frames.where("false")).collect() == []
+
+
+def test_results_are_written_as_json(spark, tmp_path):
+    questions = spark.createDataFrame([(1, 7, ["a", "b"]), (2, 7, ["c"])], "question_id int, repo_id int, truth array<string>")
+    hits = spark.createDataFrame([(1, "a"), (1, "z")], "question_id int, path string")
+    evaluate.write_results(evaluate.searched(questions, hits), str(tmp_path / "out"))
+    assert {r.question_id: (r.recall, r.missing) for r in spark.read.json(str(tmp_path / "out")).collect()} == {1: (0.5, ["b"]), 2: (0.0, ["c"])}
+
+
 def test_recall(spark):
     s = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
     assert one(spark, evaluate.recall(s("a", "b"), s("a", "c"))) == 0.5
