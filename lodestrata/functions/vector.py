@@ -17,11 +17,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), F.round(1 - dot(a, b) / norms, 6))
 
 
-def bucket(token: Column, dims: int) -> Column:
-    """One of so many buckets for a token, by its MD5."""
-    return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 6), 16, 10).cast("int") % dims).cast("int")
-
-
 def unit(vector: Column) -> Column:
     """A vector of length one in the same direction; null for one of length zero."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.text import words
-from lodestrata.functions.vector import bucket, cosine_distance, unit
+from lodestrata.functions.vector import cosine_distance, unit
 
 CANDIDATES = 50
 RRF_K = 60
@@ -76,10 +79,24 @@ def phrase(texts: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def hashed_counts(texts: DataFrame, dims: int = 64) -> DataFrame:
-    """(id, counts): how many words of each text (id, text) fall into each of so many buckets; a text without words has no row."""
-    rows = texts.select("id", F.explode(words(F.col("text"))).alias("word")).groupBy("id", bucket(F.col("word"), dims).alias("b")).agg(F.count("*").alias("n"))
-    found = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    return found.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0))).alias("counts"))
+    """(id, counts): how many words of each text (id, text) fall into each of so many buckets, by their MD5; a text without words has no row.
+
+    A row's words are its own business: they are counted where the row lies, without a shuffle.
+    """
+
+    @F.pandas_udf("array<long>")
+    def counted(tokens: pd.Series) -> pd.Series:
+        buckets: dict[str, int] = {}
+        out = []
+        for row in tokens:
+            at = [buckets[w] if w in buckets else buckets.setdefault(w, int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % dims) for w in row]
+            out.append(np.bincount(at, minlength=dims))
+            if len(buckets) > 500_000:  # only a cache
+                buckets.clear()
+        return pd.Series(out)
+
+    rows = texts.select("id", words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    return rows.select("id", counted("tokens").alias("counts"))
 
 
 def embed(texts: DataFrame, dims: int = 64, model=None) -> DataFrame:
