@@ -30,6 +30,7 @@ Defined results:
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -121,6 +122,16 @@ class _Hashes(dict):
         return value
 
 
+def _has_english(found: list[str]) -> bool:
+    """Whether at least :data:`ENGLISH_SHARE` of the words are function words of English; seen early in English prose."""
+    left = math.ceil(ENGLISH_SHARE * len(found))
+    for w in found:
+        if left <= 0:
+            break
+        left -= w in _ENGLISH
+    return left <= 0
+
+
 def _graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
     for batch in batches:
@@ -128,16 +139,17 @@ def _graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch.text:
             found = _WORD.findall(prose(text).lower()) if text else []
             foreign = 0 if _FOREIGN.isdisjoint(found) else sum(w in _FOREIGN for w in found)
-            own = sum(w in _ENGLISH for w in found)
             n_words.append(len(found))
-            english.append(10 * foreign < max(len(found), 1) and own >= ENGLISH_SHARE * len(found))
+            english.append(10 * foreign < max(len(found), 1) and _has_english(found))
             if len(found) >= MIN_WORDS and english[-1]:
                 ids = np.array([hashes[w] for w in found], np.uint64)
                 pairs = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]
                 every = np.sort(np.concatenate([ids, pairs ^ pairs >> np.uint64(29)]))
                 first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                counts = np.empty(len(first), np.int32)
+                counts[:-1], counts[-1] = first[1:] - first[:-1], len(every) - first[-1]
                 words_of.append(every[first].view(np.int64))
-                counts_of.append(np.diff(first, append=len(every)).astype(np.int32))
+                counts_of.append(counts)
             else:
                 words_of.append(np.empty(0, np.int64))
                 counts_of.append(np.empty(0, np.int32))
@@ -195,31 +207,31 @@ def _seed_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _means(n: int, row: np.ndarray, at: np.ndarray, count: np.ndarray, score: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weighted mean of the scores of each of n documents' words, which stand at ``at``; NaN without words."""
+    w = count * weight[at]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.bincount(row, w * score[at], n) / np.bincount(row, w, n)
+
+
 def _scores(batch: pd.DataFrame, nodes: np.ndarray, score: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The weighted mean of the scores of each document's words; NaN without words."""
     row, word, count = _flat(batch)
-    if not len(row):
-        return np.full(len(batch), np.nan)
-    at = np.searchsorted(nodes, word)
-    w = count * weight[at]
-    total = np.bincount(row, w, len(batch))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.bincount(row, w * score[at], len(batch)) / total
+    return _means(len(batch), row, np.searchsorted(nodes, word), count, score, weight)
 
 
 def _step(shared, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums per word of the document scores, graded documents clamped."""
+    """Sums per word of the document scores, graded documents clamped; a task holds one sum for each word of the vocabulary."""
     nodes, score, weight = shared.value
-    sums = _Sums()
+    pulled = np.zeros(len(nodes))
     for batch in batches:
         row, word, count = _flat(batch)
-        of_doc = _scores(batch, nodes, score, weight)
+        at = np.searchsorted(nodes, word)
         grade = batch.grade.to_numpy(float)
-        of_doc = np.where(np.isnan(grade), of_doc, grade)
-        if len(row) and (out := sums.add(word, count * of_doc[row])) is not None:
-            yield out
-    if (out := sums.rest()) is not None:
-        yield out
+        of_doc = np.where(np.isnan(grade), _means(len(batch), row, at, count, score, weight), grade)
+        pulled += np.bincount(at, count * of_doc[row], len(nodes))
+    some = np.flatnonzero(pulled)  # grades are at least 1
+    yield pd.DataFrame({"word": nodes[some], "s0": pulled[some]})
 
 
 def grades(labels: DataFrame) -> DataFrame:
