@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.functions import postings
 from lodestrata.functions.text import words
 from lodestrata.functions.vector import cosine_distance, unit
 
 CANDIDATES = 50
 RRF_K = 60
+#: Bytes of text and number of questions that meet in one task when many questions are searched.
+BLOCK_BYTES, BLOCK_QUESTIONS = 16 << 20, 500_000
 
 
 def latest(rows: DataFrame, repos: DataFrame) -> DataFrame:
@@ -193,14 +196,24 @@ def web(texts: DataFrame, query: str, k: int | None = CANDIDATES) -> DataFrame:
     return rows if k is None else rows.orderBy(F.desc("score"), "id").limit(k)
 
 
-def batch(texts: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+def batch(texts: DataFrame, questions: DataFrame, k: int = 10, block_bytes: int = BLOCK_BYTES, block_questions: int = BLOCK_QUESTIONS) -> DataFrame:
     """(question_id, id, path, score, rank): the k best texts (repo_id, id, path, text) of each question (question_id, repo_id, terms) of its repository.
 
-    All questions are searched in one join of words: a text's words are counted before the join, and only words asked for take part.
+    The texts of a repository are dealt into blocks of a bounded number of bytes, and each of them meets the repository's
+    questions in one task (:func:`lodestrata.functions.postings.best`), which gives out the k best of every question: what
+    is shuffled are the words of the texts, once, and few hits, not the pairs of questions and texts that share a word.
     """
-    asked = questions.select("question_id", "repo_id", F.array_distinct("terms").alias("terms")).select("question_id", "repo_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
-    posted = texts.select("repo_id", "id", "path", F.explode(words(F.col("text"))).alias("word")).join(asked.select("repo_id", "word").distinct(), ["repo_id", "word"], "left_semi")
-    posted = posted.groupBy("repo_id", "id", "path", "word").agg(F.count("*").alias("tf"))
-    hits = posted.join(asked, ["repo_id", "word"]).groupBy("question_id", "n_terms", "id", "path").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1)), 9).alias("score"), F.count("*").alias("held")).where("held = n_terms")
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "id", "path", "score", "rank")
+    asked = questions.where("repo_id is not null").select("question_id", "repo_id", F.array_distinct("terms").alias("terms")).where(F.size("terms") > 0)
+    rows = texts.where("repo_id is not null")
+    parts = rows.groupBy("repo_id").agg(F.ceil(F.sum(F.octet_length("text")) / block_bytes).alias("blocks")).join(asked.groupBy("repo_id").agg(F.ceil(F.count("*") / block_questions).alias("shares")), "repo_id")
+    parts = F.broadcast(parts.select("repo_id", F.greatest("blocks", F.lit(1)).alias("blocks"), "shares"))  # a row a repository
+    block, share = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.pmod(F.xxhash64("question_id"), F.col("shares")).alias("share")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.select("repo_id", "id", "path", F.array_join(words(F.col("text")), " ").alias("words")).where("words != ''").join(parts, "repo_id").select("repo_id", block, every("shares").alias("share"), "id", "path", "words")
+    right = asked.join(parts, "repo_id").select("repo_id", every("blocks").alias("block"), share, "question_id", "terms")
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"question_id {kind(questions, 'question_id')}, id {kind(texts, 'id')}, path {kind(texts, 'path')}, score double"
+    key = ["repo_id", "block", "share"]
+    hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda t, q: postings.best(t, q, k), schema).withColumn("score", F.round("score", 9))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id", "path")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -216,6 +216,44 @@ def test_results_are_written_as_json(spark, tmp_path):
     assert {r.question_id: (r.recall, r.missing) for r in spark.read.json(str(tmp_path / "out")).collect()} == {1: (0.5, ["b"]), 2: (0.0, ["c"])}
 
 
+def _shuffled(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_many_questions_do_not_shuffle_their_pairs_with_texts(spark):
+    n = 1000
+    texts = spark.range(n).selectExpr("id % 2 as repo_id", "id", "concat('f', id) as path", "concat('get item value w', id) as text").repartition(4)
+    questions = spark.range(n).selectExpr("id as question_id", "id % 2 as repo_id", "array('get', 'item', 'value', concat('w', id)) as terms")
+    before = _shuffled(spark)
+    got = search.batch(texts, questions).collect()
+    assert sorted((r.question_id, r.id, r.rank, r.score) for r in got) == [(i, i, 1, 2.0) for i in range(n)]
+    assert _shuffled(spark) - before < 10 * n
+
+
+def test_many_questions_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts = [(rng.choice([1, 2, None]), rng.choice([None, *range(40)]), rng.choice("ab"), " ".join(rng.choices(["x", "Y", "z_", "w", "ä", "-"], k=rng.randrange(9)))) for _ in range(300)]
+    questions = [(q, rng.choice([1, 2, 3, None]), rng.choices(["x", "y", "z_", "w", "ä", "none"], k=rng.randrange(4))) for q in range(60)]
+    held = {}  # rows of one id and path are one text
+    for repo, i, path, text in texts:
+        for w in re.findall(r"\w+", text.lower()):
+            of = held.setdefault((repo, i, path), {})
+            of[w] = of.get(w, 0) + 1
+    want = []
+    for q, repo, terms in questions:
+        hits = [(-round(sum(of[t] / (of[t] + 1) for t in set(terms)), 9), i is not None, i, path) for (r, i, path), of in held.items() if repo is not None and r == repo and terms and all(t in of for t in terms)]
+        want += [(q, i, path, -score, n) for n, (score, _, i, path) in enumerate(sorted(hits, key=lambda h: (h[0], h[1], h[2] or 0, h[3]))[:3], 1)]
+    t = spark.createDataFrame(texts, "repo_id long, id long, path string, text string")
+    a = spark.createDataFrame(questions, "question_id long, repo_id long, terms array<string>")
+    for bounds in ({}, {"block_bytes": 200, "block_questions": 7}):
+        got = [(r.question_id, r.id, r.path, r.score, r["rank"]) for r in search.batch(t, a, 3, **bounds).collect()]
+        assert sorted(got, key=lambda r: (r[0], r[4])) == want
+
+
 def test_recall(spark):
     s = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
     assert one(spark, evaluate.recall(s("a", "b"), s("a", "c"))) == 0.5
