@@ -337,6 +337,18 @@ def test_p3_every_occurrence_counts_and_every_place_is_kept(spark):
     assert got["b.py"].cost == got["b.py"].n_edits == 1500 and {r.path: r.cost for r in syntax.repairs(table, max_edits=5).collect()}["c.py"] <= 3
 
 
+def test_p3_costs_have_no_bound():
+    assert syntax.shape_cost("A" + grammars.CLASSES["ID"] * 9) == 4  # five names with four operators put for others
+    assert syntax.shape_cost("A" + grammars.CLASSES["ID"] * 9, max_edits=2) == 3
+    long = grammars.CLASSES["ID"] + (grammars.CLASSES["PM"] + grammars.CLASSES["ID"]) * 220
+    assert syntax.shape_cost("A" + long + grammars.CLASSES["ID"]) == 1  # more than 400 tokens
+    rng = random.Random(11)
+    for grammar, start in ((grammars.python(), "Line"), (grammars.typescript(), "Top"), (grammars.typescript(), "Gen")):
+        for _ in range(12):
+            tokens = "".join(rng.choices(list(grammars.CLASSES.values()), k=rng.randint(1, 5)))
+            assert grammar.table(start).cost(tokens) == next(x for x in range(9) if grammar._derive(grammar.number[start], tokens, x) is not None)
+
+
 def test_p3_reasons_of_planted_faults(spark, sf):
     """Valid files of the given table, cut off, with a conflict, or under a wrong extension; faults that leave a file valid are not flagged."""
     table = registry.read(spark, sf.replace("sf0.001", "sf0.01"), "files")
