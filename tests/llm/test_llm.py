@@ -501,6 +501,16 @@ def test_p5_a_bucket_above_the_bound_is_cut_by_the_next_bands(spark):
     assert all(got[2 * k - 1] == got[2 * k] for k in range(1, n)) and len(set(got.values())) == n
 
 
+def test_p5_members_of_a_large_bucket_all_find_their_partners(spark):
+    bands = [1] * origin.BANDS  # one bucket, however many bands cut it
+    # two families, and the two of each hub that resemble one another alone; none resembles the least member
+    sets = {0: range(900, 940)} | {k: [*range(40), 1000 + k] for k in range(1, 50)} | {k: [*range(50, 90), 1000 + k] for k in range(50, 100)}
+    rows = [(k, k, 200, list(s), bands, list(range(10))) for k, s in sets.items()]
+    measured = spark.createDataFrame(rows, "row long, node long, n_tokens int, fine array<int>, fine_bands array<long>, words array<int>")
+    got = {r.row: r.cluster for r in origin.clusters(measured, "fine").collect()}
+    assert got == {0: 0} | dict.fromkeys(range(1, 50), 1) | dict.fromkeys(range(50, 100), 50)
+
+
 def test_p5_link_recall_on_the_given_files(spark, sf):
     folder = sf.replace("sf0.001", "sf0.01")
     rows = origin.features(registry.read(spark, folder, "files"), registry.read(spark, folder, "upstream_files"))
