@@ -511,6 +511,15 @@ def test_p5_members_of_a_large_bucket_all_find_their_partners(spark):
     assert got == {0: 0} | dict.fromkeys(range(1, 50), 1) | dict.fromkeys(range(50, 100), 50)
 
 
+def test_p5_members_of_a_large_bucket_meet_where_nodes_are_never_null(spark):
+    sets = {0: range(900, 940)} | {k: [*range(40), 1000 + k] for k in range(1, 50)} | {k: [*range(50, 90), 1000 + k] for k in range(50, 100)}
+    rows = [(k, k, 200, list(s), [1] * origin.BANDS) for k, s in sets.items()]
+    measured = origin.cut(spark.createDataFrame(rows, "row long, file_id long, n_tokens int, coarse array<int>, coarse_bands array<long>"))
+    measured = measured.withColumn("node", F.xxhash64("file_id"))  # as with the nodes of one repository
+    sizes = origin.clusters(measured, "coarse").groupBy("cluster").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n")).drop("cluster")
+    assert sorted(map(tuple, sizes.collect())) == [(0, 0, 1), (1, 49, 49), (50, 99, 50)]
+
+
 def test_p5_link_recall_on_the_given_files(spark, sf):
     folder = sf.replace("sf0.001", "sf0.01")
     rows = origin.features(registry.read(spark, folder, "files"), registry.read(spark, folder, "upstream_files"))
