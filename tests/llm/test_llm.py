@@ -330,6 +330,20 @@ def test_p3_a_cost_alone_flags_python(text):
     assert len(found.edits) + sum(syntax.shape_cost(s) * n for s, (_, _, n) in found.raw.items()) > 0
 
 
+def test_p3_costs_of_shapes_taken_together_are_those_of_each(monkeypatch):
+    rng = random.Random(23)
+    kinds, tokens = [*syntax.TS_STARTS, *syntax.PY_STARTS], list(grammars.CLASSES.values())
+    shapes = [rng.choice(kinds) + "".join(rng.choices(tokens, k=rng.choice([0, 1, 2, 5, 9, 14, 27]))) for _ in range(90)]
+    shapes += ["A" + grammars.CLASSES["ID"] * n for n in (1, 9, chart.TOGETHER, chart.TOGETHER + 31)] + shapes[:3]
+    shapes += ["a" + c * chart.TOGETHER for c in tokens[:2]]  # the largest sums that one byte has to hold
+    with monkeypatch.context() as m:
+        m.setattr(chart, "HELD_BYTES", 0)  # one at a time, halves gathered for every length
+        alone = [syntax.shape_cost(s) for s in shapes]
+    assert max(alone) > 90 and syntax.shape_costs(shapes) == alone
+    assert syntax.shape_costs(shapes, 2) == [min(c, 3) for c in alone] and syntax.shape_costs(shapes, 0) == [min(c, 1) for c in alone]
+    assert syntax.shape_costs([]) == []
+
+
 def test_p3_every_occurrence_counts_and_every_place_is_kept(spark):
     table = files(spark, ("a.py", "a b\n" * 3), ("b.py", ")\n" * 1500), ("c.py", "x = a b c\n"))
     got = {r.path: r for r in syntax.repairs(table).collect()}
